@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from keystrata.llm import mixing
+from keystrata.llm import mixing, simhash
 
 
 def queries() -> dict:
-    return {"op2_mix_sources": mixing.op2_mix_sources}
+    return {
+        "op2_mix_sources": mixing.op2_mix_sources,
+        "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

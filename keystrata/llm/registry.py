@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from keystrata.llm import mixing, simhash
+from keystrata.llm import mixing, packing, simhash
 
 
 def queries() -> dict:
     return {
+        "op1_best_fit_packing": packing.op1_best_fit_packing,
         "op2_mix_sources": mixing.op2_mix_sources,
         "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
     }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from keystrata.llm import mixing, packing, simhash
+from keystrata.llm import mixing, packing, repeats, simhash
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_best_fit_packing": packing.op1_best_fit_packing,
         "op2_mix_sources": mixing.op2_mix_sources,
         "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
+        "op10_suffix_array_dedup": repeats.op10_suffix_array_dedup,
     }
 
 

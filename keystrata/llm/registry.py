@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from keystrata.llm import mixing, packing, repeats, simhash
+from keystrata.llm import chat, mixing, packing, repeats, simhash, urls
 
 
 def queries() -> dict:
@@ -10,9 +10,11 @@ def queries() -> dict:
         "op1_best_fit_packing": packing.op1_best_fit_packing,
         "op2_mix_sources": mixing.op2_mix_sources,
         "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
+        "op8_url_filters": urls.op8_url_filters,
+        "op9_chat_formatting": chat.op9_chat_formatting,
         "op10_suffix_array_dedup": repeats.op10_suffix_array_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": mixing.OP2_SQL}
+    return {"op2_mix_sources": mixing.OP2_SQL, "op8_url_filters": urls.OP8_SQL, "op9_chat_formatting": chat.OP9_SQL}

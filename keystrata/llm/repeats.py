@@ -258,7 +258,7 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def _apply(text_name: str, span_name: str):
+def _apply(text_name: str, span_name: str, as_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, bounds = _bytes_of(batch.column(text_name))
@@ -274,14 +274,18 @@ def _apply(text_name: str, span_name: str):
                 all_spans.append([{"start": s, "stop": e} for s, e in merged])
             names = [n for n in batch.schema.names if n not in (text_name, span_name)]
             columns = [batch.column(n) for n in names]
-            lengths = pa.array(np.diff(bounds))
-            yield pa.RecordBatch.from_arrays([*columns, lengths, pa.array(all_spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(kept, pa.binary())], names=[*names, "n_bytes", "spans", "kept"])
+            lengths, runs = pa.array(np.diff(bounds)), pa.array(all_spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))
+            rest = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+            yield pa.RecordBatch.from_arrays([*columns, lengths, runs, rest], names=[*names, "n_bytes", "spans", "kept"])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, *, length: int = 400) -> DataFrame:
-    """``docs`` without ``text``, with ``n_bytes``, ``spans`` (removed runs, byte offsets) and ``kept`` (bytes), reserved names."""
+def remove_repeats(docs: DataFrame, *, length: int = 400, as_text: bool = False) -> DataFrame:
+    """``docs`` without ``text``, with ``n_bytes``, ``spans`` (removed runs, byte offsets) and ``kept``, reserved names.
+
+    ``kept`` is bytes, or with ``as_text`` a string, from which the rest of a character that is cut in two is left out.
+    """
     s_text, s_a, s_b, s_spans = fresh(docs, "text", "a", "b", "spans")
     rows = docs.withColumn(s_text, text_or_empty()).drop("text")
     rows = rows.withColumn(s_a, F.xxhash64("doc_id", s_text)).withColumn(s_b, F.xxhash64(s_text, "doc_id", F.lit(1)))
@@ -319,8 +323,8 @@ def remove_repeats(docs: DataFrame, *, length: int = 400) -> DataFrame:
 
     done = dealt.join(spans.hint("shuffle_hash"), [s_a, s_b], "left")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in done.select(*keep).schema)
-    kind = f"{schema}, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary"
-    return done.select(*keep, s_text, s_spans).mapInArrow(_apply(s_text, s_spans), kind)
+    kind = f"{schema}, n_bytes long, spans array<struct<start:long,stop:long>>, kept {'string' if as_text else 'binary'}"
+    return done.select(*keep, s_text, s_spans).mapInArrow(_apply(s_text, s_spans, as_text), kind)
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

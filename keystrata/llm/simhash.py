@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from keystrata.llm.common import fresh, stash
+from keystrata.llm.common import fresh, stash, text_or_empty
 from keystrata.llm.components import components
 
 #: Cells up to this size list their pairs; larger ones meet at shared bit strings.
@@ -106,6 +106,23 @@ def near_duplicates(docs: DataFrame, *, width: int = 3, distance: int = 2) -> Da
     return marked.join(stash(ids, "simhash-components"), "fp")
 
 
+def keep_one(docs: DataFrame, *, width: int = 3, distance: int = 2) -> DataFrame:
+    """The rows of ``docs`` less near-duplicates: of each component the row of least id, then least text hash."""
+    s_a, s_b = fresh(docs, "a", "b")
+    keys = [F.xxhash64("doc_id", text_or_empty()).alias("a"), F.xxhash64(text_or_empty(), "doc_id", F.lit(1)).alias("b")]
+    marked = stash(near_duplicates(docs.select("doc_id", "text", *keys), width=width, distance=distance), "simhash-marked")
+    # Components without an id have none to go by: their fingerprint stands in, so only copies are one group there.
+    group = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "a", "b"))
+    kept = marked.groupBy(group.alias("group")).agg(least.alias("r")).select(F.col("r.a").alias(s_a), F.col("r.b").alias(s_b))
+    kept = stash(kept, "simhash-kept")
+    rows = docs.withColumn(s_a, keys[0]).withColumn(s_b, keys[1]).join(kept.hint("shuffle_hash"), [s_a, s_b])
+    wanted = marked.join(kept, (F.col("a") == F.col(s_a)) & (F.col("b") == F.col(s_b)), "left_semi").count()
+    if wanted > kept.count():  # some kept row is there more than once
+        rows = rows.dropDuplicates([s_a, s_b])
+    return rows.select(*docs.columns)
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = near_duplicates(docs)

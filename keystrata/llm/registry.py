@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from keystrata.llm import chat, mixing, packing, quality, repeats, simhash, urls
+from keystrata.llm import chat, mixing, packing, quality, repeats, simhash, urls, weighted
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_best_fit_packing": packing.op1_best_fit_packing,
         "op2_mix_sources": mixing.op2_mix_sources,
         "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
+        "op4_document_fingerprints": weighted.op4_document_fingerprints,
         "op7_quality_classifier": quality.op7_quality_classifier,
         "op8_url_filters": urls.op8_url_filters,
         "op9_chat_formatting": chat.op9_chat_formatting,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from keystrata.llm import chat, mixing, packing, quality, repeats, simhash, urls, weighted
+from keystrata.llm import audio, chat, html, mixing, packing, quality, repeats, simhash, urls, weighted
 
 
 def queries() -> dict:
@@ -11,6 +11,8 @@ def queries() -> dict:
         "op2_mix_sources": mixing.op2_mix_sources,
         "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
         "op4_document_fingerprints": weighted.op4_document_fingerprints,
+        "op5_html_extraction": html.op5_html_extraction,
+        "op6_media_fingerprints": audio.op6_media_fingerprints,
         "op7_quality_classifier": quality.op7_quality_classifier,
         "op8_url_filters": urls.op8_url_filters,
         "op9_chat_formatting": chat.op9_chat_formatting,

@@ -20,6 +20,7 @@ import os
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,43 +31,156 @@ from pyspark.sql import functions as F
 from keystrata.llm.common import fresh, stash
 
 RANK_ROWS = 20_000
-#: Words whose ids a Python worker remembers, and the longest of them in characters.
-WORDS_KEPT, LONGEST_KEPT = 400_000, 48
+#: Bytes of text encoded at a time.
+TEXT_BLOCK = 4 << 20
+#: Words and parts of words whose ids a Python worker remembers, and the longest of them.
+WORDS_KEPT, PARTS_KEPT, LONGEST_KEPT = 100_000, 400_000, 64
 #: White space for ``str.split`` but not for the tokenizers' ``\s``.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
 class WordEncoder:
-    """Ids of whole texts, as little-endian uint32 bytes, for a tokenizer whose tokens never span white space.
+    """Ids of whole texts, as little-endian uint32 bytes, for a byte-level tokenizer whose tokens never span white space.
 
-    Such a tokenizer gives a text the ids of its words one after the other, so words are encoded once and remembered.
+    Such a tokenizer lower-cases a text and splits it into contractions, runs of letters, single digits and runs of
+    other signs; the text's ids are those of the parts, one after the other. Texts of ASCII and Western accented letters
+    are split in numpy, some megabytes at a time; their distinct parts are found in Arrow, those not seen before go to
+    the tokenizer's merges, thousands in a call, and ids are gathered by part number. Other texts go word by word through
+    the whole tokenizer, and as a whole where they hold what looks like a special token or separators.
     """
 
+    #: Bytes outside ASCII and U+00C0 to U+00FF, or separators that only Python takes for white space.
+    ODD = np.isin(np.arange(256), [*range(0x1C, 0x20), 0xC2, *range(0xC4, 256)])
+    #: 0 white space, 1 letters, 2 digits, 3 other signs.
+    KIND = np.array([0 if b in b" \t\n\r\x0b\x0c" else 1 if chr(b).isalpha() or b > 127 else 2 if 48 <= b <= 57 else 3 for b in range(256)], np.int8)
+
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.kept = Tokenizer.from_file(path), {}
-
-    def _raw(self, texts: list[str]) -> list[bytes]:
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.parts: dict[bytes, bytes] = {}
+        self.other: dict[str, bytes] = {}
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # a byte-level alphabet shows the other bytes by 256, 257, ...
+        hidden = [b for b in range(256) if b not in shown]
+        self.alphabet = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)} | {32: " "}
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a part
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.kept) > WORDS_KEPT:
-            self.kept.clear()
-        out = []
-        for at in range(0, len(texts), 256):
-            words = [None if any(c in t for c in SEPARATORS) else t.split() for t in texts[at : at + 256]]
-            new = list(set().union(*(w for w in words if w)).difference(self.kept))
-            kept = self.kept
-            kept.update(zip(new, self._raw(new)))
-            for t, w in zip(texts[at : at + 256], words):
-                out.append(self._raw([t])[0] if w is None else b"".join(map(kept.__getitem__, w)))
-            for w in new:
-                if len(w) > LONGEST_KEPT:
-                    del kept[w]
+    def _merge(self, parts: list[bytes]) -> list[bytes]:
+        """Ids of distinct parts."""
+        kept = self.parts
+        if len(kept) > PARTS_KEPT:
+            kept.clear()
+        new = [p for p in parts if p not in kept]
+        for at in range(0, len(new), 2000):
+            some = new[at : at + 2000]
+            shown = b" ".join(some).decode("latin-1").translate(self.alphabet)
+            ids = np.array(self.merges.encode_batch_fast([shown], add_special_tokens=False)[0].ids, "<u4")
+            raw, cut = ids.tobytes(), [0, *(4 * np.flatnonzero(self.last[ids]) + 4).tolist()]
+            kept.update(zip(some, (raw[s:e] for s, e in zip(cut, cut[1:]))))
+        out = list(map(kept.__getitem__, parts))
+        if new and max(map(len, new)) > LONGEST_KEPT:
+            for p in new:
+                if len(p) > LONGEST_KEPT:
+                    del kept[p]
         return out
 
+    def _split(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lower-cased bytes, and where parts start."""
+        data = data.copy()
+        data[(data >= 65) & (data <= 90)] += 32
+        wide = np.flatnonzero(data == 0xC3)
+        upper = wide[(data[wide + 1] <= 0x9E) & (data[wide + 1] != 0x97)]
+        kind = self.KIND[data]
+        signs = wide[(data[wide + 1] == 0x97) | (data[wide + 1] == 0xB7)]
+        data[upper + 1] += 32
+        kind[signs] = kind[signs + 1] = 3
+        start = (kind == 1) | (kind == 3)
+        start[1:] &= kind[1:] != kind[:-1]
+        start |= kind == 2
+        first = bounds[:-1][bounds[:-1] < bounds[1:]]
+        start[first] = kind[first] > 0
+        # A contraction is a part of its own where it does not end a run of signs.
+        quote = np.flatnonzero((data == 39) & start)
+        if len(quote):
+            text_end = bounds[np.searchsorted(bounds, quote, side="right")]
+            after = np.concatenate([data, np.zeros(2, np.uint8)])
+            one, two = after[quote + 1], after[quote + 2]
+            one, two = np.where(quote + 1 < text_end, one, 0), np.where(quote + 2 < text_end, two, 0)
+            single = np.isin(one, list(b"stmd"))
+            double = ((one == 114) | (one == 118)) & (two == 101) | (one == 108) & (two == 108)
+            for hit, size in ((quote[single], 2), (quote[double], 3)):
+                start[hit + 1] = False
+                rest = hit + size
+                inside = rest[rest < len(data)]
+                start[inside] |= kind[inside] == 1
+        return data, start
+
+    def _plain(self, data: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+        """Ids of the plain texts between ``bounds``."""
+        if not len(data):
+            return [b""] * (len(bounds) - 1)
+        data, start = self._split(data, bounds)
+        at = np.flatnonzero(start)
+        if not len(at):
+            return [b""] * (len(bounds) - 1)
+        solid = self.KIND[data] > 0
+        ends = np.zeros(len(at) + 1, np.int32)
+        np.cumsum(np.add.reduceat(solid.view(np.int8), at, dtype=np.int32), out=ends[1:])
+        parts = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(data[solid])]).dictionary_encode()
+        ids = self._merge(parts.dictionary.to_pylist())
+        size = np.array([len(i) // 4 for i in ids], np.int64)
+        begin = np.cumsum(size) - size
+        flat, number = np.frombuffer(b"".join(ids), "<u4"), parts.indices.to_numpy()
+        each = size[number]
+        until = np.cumsum(each)
+        out = flat[np.repeat(begin[number] - (until - each), each) + np.arange(until[-1])].tobytes()
+        cut = (4 * np.concatenate([[0], until])[np.searchsorted(at, bounds)]).tolist()
+        return [out[s:e] for s, e in zip(cut, cut[1:])]
+
+    def _odd(self, text: str) -> bytes:
+        if "<|" in text or any(c in text for c in SEPARATORS):
+            return self._whole([text])[0]
+        words, kept = text.split(), self.other
+        if len(kept) > WORDS_KEPT:
+            kept.clear()
+        new = list(set(words).difference(kept))
+        kept.update(zip(new, self._whole(new)))
+        out = b"".join(map(kept.__getitem__, words))
+        for w in new:
+            if len(w) > LONGEST_KEPT:
+                del kept[w]
+        return out
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        at = 0
+        while at < len(texts):
+            some, size = [], 0
+            while at < len(texts) and (not some or size < TEXT_BLOCK):
+                some.append(texts[at].encode("utf-8", "surrogatepass"))
+                size += len(some[-1])
+                at += 1
+            data = np.frombuffer(b"".join(some), np.uint8)
+            bounds = np.concatenate([[0], np.cumsum([len(b) for b in some])]).astype(np.int64)
+            bad = np.flatnonzero(self.ODD[data])
+            if size:
+                bad = np.concatenate([bad, np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))])  # "<|"
+            odd = set((np.searchsorted(bounds, np.unique(bad), side="right") - 1).tolist())
+            if odd:
+                clear = [b for i, b in enumerate(some) if i not in odd]
+                data = np.frombuffer(b"".join(clear), np.uint8)
+                bounds = np.concatenate([[0], np.cumsum([len(b) for b in clear])]).astype(np.int64)
+            plain = iter(self._plain(data, bounds))
+            for i in range(len(some)):
+                yield self._odd(texts[at - len(some) + i]) if i in odd else next(plain)
+
 
 _ENCODERS: dict[str, WordEncoder] = {}
 

@@ -158,7 +158,7 @@ RATE, NOTE_S = 4000, 0.25
 def render(vector: list[float] | None, cut: float = 0.0, noise: float = 0.0, seed: int = 0) -> bytes:
     """A vector as a WAV file: pairs of its components are the two voices of notes. ``cut`` seconds are left out at the
     start, ``noise`` is the amplitude of noise against that of a voice."""
-    v = np.nan_to_num(np.asarray([x or 0.0 for x in vector or []], np.float64))
+    v = np.nan_to_num(np.asarray([0.0 if x is None else x for x in ([] if vector is None else vector)], np.float64))
     scale = np.sqrt((v**2).mean()) if len(v) and (v**2).any() else 1.0
     pitch = np.clip(np.round(18 + 8 * v / scale), 0, 36)
     t = np.arange(int(NOTE_S * RATE)) / RATE

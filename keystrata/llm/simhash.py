@@ -93,7 +93,7 @@ def near_links(prints: DataFrame, distance: int = 2) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 3, distance: int = 2) -> DataFrame:
-    """``docs`` with ``fp`` (long) and ``component_id`` added, both reserved names."""
+    """``docs`` less ``text``, with ``fp`` (long), ``component_fp`` (its component's least ``fp``) and ``component_id``, reserved names."""
     (s_id,) = fresh(docs, "least")
     marked = docs.withColumn("fp", fingerprint(F.col("text"), width)).drop("text")
     marked = stash(marked, "simhash-prints")
@@ -102,7 +102,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 3, distance: int = 2) -> Da
     named = prints.join(roots, F.col("fp") == F.col("node"), "left").select("fp", s_id, F.coalesce("root", "fp").alias("root"))
     named = stash(named, "simhash-roots")
     ids = named.groupBy("root").agg(F.min(s_id).alias("component_id"))
-    ids = named.join(ids, "root").select("fp", "component_id")
+    ids = named.join(ids, "root").select("fp", F.col("root").alias("component_fp"), "component_id")
     return marked.join(stash(ids, "simhash-components"), "fp")
 
 
@@ -188,16 +188,14 @@ def keep_one(docs: DataFrame, *, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` less near-duplicates: of each group the row of least id, then least text hash.
 
     A group is connected by fingerprints within 2 bits (three-word shingles) or by Jaccard similarity of five-word
-    shingles, verified exactly. Rows without an id come last; where a fingerprint has no id at all, its copies are a group.
+    shingles, verified exactly. Rows without an id come after those with one.
     """
     s_a, s_b = fresh(docs, "a", "b")
     text = text_or_empty()
     keys = [F.xxhash64("doc_id", text).alias("a"), F.xxhash64(text, "doc_id", F.lit(1)).alias("b"), F.xxhash64(text).alias("node")]
     marked = stash(near_duplicates(docs.select("doc_id", "text", *keys)), "simhash-marked")
-    root = marked.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("alone")).agg(F.min("node").alias("least"))
-    root = root.select(F.col("component_id").alias("c"), "alone", "least")
-    own = F.when(F.col("component_id").isNull(), F.col("fp"))
-    stars = marked.join(root, F.col("component_id").eqNullSafe(F.col("c")) & own.eqNullSafe(F.col("alone"))).select(F.col("node").alias("a"), F.col("least").alias("b"))
+    root = marked.groupBy("component_fp").agg(F.min("node").alias("least"))
+    stars = marked.join(root, "component_fp").select(F.col("node").alias("a"), F.col("least").alias("b"))
     links = similar_links(docs.select(F.xxhash64(text).alias("node"), text.alias("text")), similarity=similarity)
     groups = components(stars.union(links)).withColumnRenamed("node", "of")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "a", "b"))

@@ -34,6 +34,8 @@ from keystrata.llm.common import fresh, stash, text_or_empty
 
 #: Bytes of an anchor's gram; bytes of text hashed at a time; rows of a batch of the index; contexts for each task.
 GRAM, BLOCK, BATCH, SHARD = 64, 1 << 20, 4096, 40_000
+#: Distinct contexts of one gram beyond which they are matched by shuffled window hashes rather than in one task.
+HOT = 50_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -195,26 +197,10 @@ class SuffixFamily:
             at = to
 
     def _match(self, rows: np.ndarray, runs: np.ndarray) -> None:
-        length, width, n = self.length, self.width, len(rows)
-        reach = length - GRAM
-        lead = reach - self.before[rows]
-        size = np.array([len(self.texts[i]) for i in rows], np.int32)
-        laid = b"".join(b"\0" * int(p) + self.texts[i] + b"\0" * int(reach + length - p - s) for i, p, s in zip(rows, lead, size))
-        columns = np.frombuffer(laid, np.uint8).reshape(n, reach + length).T.astype(np.uint64)
-        columns = _mix(columns + np.uint64(1))
-        total = np.zeros((reach + length + 1, n), np.uint64)
-        for k in range(reach + length):
-            np.multiply(total[k], BASE, out=total[k + 1])
-            total[k + 1] += columns[k]
-        power = np.uint64(pow(int(BASE), length, 1 << 64))
-        salt = _mix(runs.astype(np.uint64) + np.uint64(1))
         low, high = self.low[rows], self.high[rows]
-        for k in range(width):  # the window that starts `offset` bytes before the anchor
-            offset = reach - k
-            there = np.flatnonzero((lead <= k) & (lead + size >= k + length))
-            if len(there) < 2:
-                continue
-            key = _mix(total[k + length][there] - total[k][there] * power) ^ salt[there]
+        salt = _mix(runs.astype(np.uint64) + np.uint64(1))
+        for offset, there, keys in windows([self.texts[i] for i in rows], self.before[rows], self.length):
+            key = keys ^ salt[there]
             order = np.argsort(key)
             same = np.diff(key[order].view(np.int64)) == 0
             hit = np.zeros(len(there), bool)
@@ -224,6 +210,37 @@ class SuffixFamily:
         self.low[rows], self.high[rows] = low, high
 
 
+def windows(texts: list[bytes], before: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each offset of a window before the anchor: the contexts that have it, and its hash in each."""
+    n, reach = len(texts), length - GRAM
+    lead = reach - before
+    size = np.array([len(t) for t in texts], np.int32)
+    laid = b"".join(b"\0" * int(p) + t + b"\0" * int(reach + length - p - s) for t, p, s in zip(texts, lead, size))
+    columns = np.frombuffer(laid, np.uint8).reshape(n, reach + length).T.astype(np.uint64)
+    columns = _mix(columns + np.uint64(1))
+    total = np.zeros((reach + length + 1, n), np.uint64)
+    for k in range(reach + length):
+        np.multiply(total[k], BASE, out=total[k + 1])
+        total[k + 1] += columns[k]
+    power = np.uint64(pow(int(BASE), length, 1 << 64))
+    for k in range(reach + 1):
+        there = np.flatnonzero((lead <= k) & (lead + size >= k + length))
+        if len(there):
+            yield reach - k, there, _mix(total[k + length][there] - total[k][there] * power)
+
+
+def _hashed(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.slice(at, BATCH)
+                gram, context = part.column("gram").to_numpy(), part.column("context").to_numpy()
+                for offset, there, keys in windows(part.column("bytes").to_pylist(), part.column("before").to_numpy(), length):
+                    yield pa.RecordBatch.from_arrays([pa.array(gram[there]), pa.array(context[there]), pa.array(np.full(len(there), offset, np.int32)), pa.array(keys.view(np.int64))], names=["gram", "context", "offset", "hash"])
+
+    return run
+
+
 def _index(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family, contexts, waiting = SuffixFamily(length), [], []
@@ -311,7 +328,16 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, as_text: bool = False)
     (s_wanted,) = fresh(texts, "wanted")
     texts = texts.select(F.col(s_text).alias(s_text), F.col("wanted").alias(s_wanted), *keep)
     cut = texts.mapInArrow(_cut(length, s_text, s_wanted), "gram long, context long, before int, bytes binary")
-    met = cut.repartition(shards, "gram").mapInArrow(_index(length), "gram long, context long, low int, high int")
+    hot = stash(grams.where(F.col("kinds") > HOT).select("gram"), "repeats-hot")
+    if hot.isEmpty():
+        met = cut.repartition(shards, "gram").mapInArrow(_index(length), "gram long, context long, low int, high int")
+    else:  # a passage that very many documents share: its contexts are spread by window, each gram's others stay together
+        cut = stash(cut, "repeats-cut")
+        met = cut.join(hot, "gram", "left_anti").repartition(shards, "gram").mapInArrow(_index(length), "gram long, context long, low int, high int")
+        hashed = stash(cut.join(hot, "gram", "left_semi").distinct().mapInArrow(_hashed(length), "gram long, context long, offset int, hash long"), "repeats-windows")
+        twice = hashed.groupBy("gram", "offset", "hash").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+        shared = hashed.join(twice, ["gram", "offset", "hash"]).groupBy("gram", "context").agg(F.min("offset").alias("low"), F.max("offset").alias("high"))
+        met = met.unionByName(shared)
     met = met.groupBy("gram", "context").agg(F.min("low").alias("low"), F.max("high").alias("high"))
 
     # Copies of a context match in all their windows, others in those that the index found.

@@ -342,9 +342,10 @@ def simple_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("batch", [7, 4096])
-def test_repeats(spark, docs, none, monkeypatch, batch):
+@pytest.mark.parametrize("batch, hot", [(7, 50_000), (4096, 50_000), (16, 2)])
+def test_repeats(spark, docs, none, monkeypatch, batch, hot):
     monkeypatch.setattr(repeats, "BATCH", batch)
+    monkeypatch.setattr(repeats, "HOT", hot)
     monkeypatch.setattr(repeats, "BLOCK", 5000)
     rng = random.Random(batch)
     passages = [words(n, n) for n in (20, 40, 70, 90, 140)]

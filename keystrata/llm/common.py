@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +55,25 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def bytes_of(column: pa.Array) -> tuple[memoryview, np.ndarray]:
+    """The bytes of a text column (nulls are empty), not copied, and their bounds."""
+    column = column.cast(pa.large_string())
+    if column.null_count:
+        column = column.fill_null("")
+    _, ends, data = column.buffers()
+    bounds = np.frombuffer(ends, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    return memoryview(data if data is not None else b""), bounds
+
+
+def release() -> None:
+    """Give memory that a Python worker has freed back to the machine: workers live on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # only glibc has it
+        pass
+
+
 def fresh(df: DataFrame, *stems: str) -> list[str]:
     """Column names that clash with none of ``df``, whatever extra columns it carries."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -28,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keystrata.llm.common import fresh, stash
+from keystrata.llm.common import bytes_of, fresh, release, stash
 
 RANK_ROWS = 20_000
 #: Bytes of text encoded at a time.
-TEXT_BLOCK = 4 << 20
+TEXT_BLOCK = 2 << 20
 #: Words and parts of words whose ids a Python worker remembers, and the longest of them.
-WORDS_KEPT, PARTS_KEPT, LONGEST_KEPT = 100_000, 400_000, 64
+WORDS_KEPT, PARTS_KEPT, LONGEST_KEPT = 50_000, 200_000, 64
 #: White space for ``str.split`` but not for the tokenizers' ``\s``.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 
@@ -62,6 +62,7 @@ class WordEncoder:
         self.merges = Tokenizer(self.tokenizer.model)
         self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.parts: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.other: dict[str, bytes] = {}
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # a byte-level alphabet shows the other bytes by 256, 257, ...
         hidden = [b for b in range(256) if b not in shown]
@@ -74,11 +75,13 @@ class WordEncoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _merge(self, parts: list[bytes]) -> list[bytes]:
-        """Ids of distinct parts."""
-        kept = self.parts
-        if len(kept) > PARTS_KEPT:
-            kept.clear()
-        new = [p for p in parts if p not in kept]
+        """Ids of distinct parts. Of those remembered, the ones met since the last turnover outlive the next."""
+        if len(self.parts) > PARTS_KEPT // 2:
+            self.parts, self.older = {}, self.parts
+        kept, older = self.parts, self.older
+        missing = [p for p in parts if p not in kept]
+        kept.update((p, older[p]) for p in missing if p in older)
+        new = [p for p in missing if p not in kept]
         for at in range(0, len(new), 2000):
             some = new[at : at + 2000]
             shown = b" ".join(some).decode("latin-1").translate(self.alphabet)
@@ -141,7 +144,9 @@ class WordEncoder:
         flat, number = np.frombuffer(b"".join(ids), "<u4"), parts.indices.to_numpy()
         each = size[number]
         until = np.cumsum(each)
-        out = flat[np.repeat(begin[number] - (until - each), each) + np.arange(until[-1])].tobytes()
+        place = np.repeat(begin[number] - (until - each), each)
+        place += np.arange(until[-1])
+        out = flat[place].tobytes()
         cut = (4 * np.concatenate([[0], until])[np.searchsorted(at, bounds)]).tolist()
         return [out[s:e] for s, e in zip(cut, cut[1:])]
 
@@ -159,27 +164,27 @@ class WordEncoder:
                 del kept[w]
         return out
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        at = 0
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        raw, ends = bytes_of(texts)
+        every, at = np.frombuffer(raw, np.uint8), 0
         while at < len(texts):
-            some, size = [], 0
-            while at < len(texts) and (not some or size < TEXT_BLOCK):
-                some.append(texts[at].encode("utf-8", "surrogatepass"))
-                size += len(some[-1])
-                at += 1
-            data = np.frombuffer(b"".join(some), np.uint8)
-            bounds = np.concatenate([[0], np.cumsum([len(b) for b in some])]).astype(np.int64)
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + TEXT_BLOCK, side="right")) - 1)
+            lo, bounds = int(ends[at]), ends[at : to + 1] - ends[at]
+            data = every[lo : int(ends[to])]
             bad = np.flatnonzero(self.ODD[data])
-            if size:
+            if len(data):
                 bad = np.concatenate([bad, np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))])  # "<|"
             odd = set((np.searchsorted(bounds, np.unique(bad), side="right") - 1).tolist())
             if odd:
-                clear = [b for i, b in enumerate(some) if i not in odd]
-                data = np.frombuffer(b"".join(clear), np.uint8)
-                bounds = np.concatenate([[0], np.cumsum([len(b) for b in clear])]).astype(np.int64)
-            plain = iter(self._plain(data, bounds))
-            for i in range(len(some)):
-                yield self._odd(texts[at - len(some) + i]) if i in odd else next(plain)
+                clear = [i for i in range(to - at) if i not in odd]
+                data = np.concatenate([data[bounds[i] : bounds[i + 1]] for i in clear]) if clear else data[:0]
+                sizes = [bounds[i + 1] - bounds[i] for i in clear]
+                plain = iter(self._plain(data, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)))
+            else:
+                plain = iter(self._plain(data, bounds))
+            for i in range(to - at):
+                yield self._odd(bytes(raw[lo + bounds[i] : lo + bounds[i + 1]]).decode("utf-8", "surrogatepass")) if i in odd else next(plain)
+            at = to
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -195,8 +200,7 @@ def pieces(text: Column, tokenizer: str, capacity: int = 2048, end_id: int = 0,
             _ENCODERS[tokenizer] = WordEncoder(tokenizer)
         encoder = _ENCODERS[tokenizer]
         cut, rows, ids = [0], [], []
-        values = [t or "" for t in texts.to_pylist()]
-        for buf in encoder.encode(values):
+        for buf in encoder.encode(texts):
             buf += int(end_id).to_bytes(4, "little")
             n = len(buf) // 4
             for piece, start in enumerate(range(0, n, capacity)):
@@ -205,6 +209,7 @@ def pieces(text: Column, tokenizer: str, capacity: int = 2048, end_id: int = 0,
                 if with_ids:
                     ids.append(part)
             cut.append(len(rows))
+        release()
         columns = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, (pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
         names = ["piece", "start", "length", "ids_crc32"]
         if with_ids:

@@ -24,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keystrata.llm.common import text_or_empty
+from keystrata.llm.common import release, text_or_empty
 
-PASSAGE, BAG, PART = 64, 64, 1 << 19
+PASSAGE, BAG, PART = 64, 32, 1 << 19
 
 
 def _kinds() -> tuple[np.ndarray, int]:
@@ -171,7 +171,7 @@ class AttentionModel:
     def fit(self, x: np.ndarray, owner: np.ndarray, y: np.ndarray, epochs: int = 25, rate: float = 0.01, decay: float = 1e-4, size: int = 256, seed: int = 5) -> AttentionModel:
         """``owner`` ascending. Adam on the cross entropy, classes in balance."""
         rng, docs = np.random.default_rng(seed), len(y)
-        self.mean, self.scale = x.mean(0), x.std(0) + 0.02
+        self.mean, self.scale = x.mean(0, dtype=np.float64), x.std(0, dtype=np.float64) + 0.02
         starts = np.searchsorted(owner, np.arange(docs + 1))
         weight = np.where(y > 0.5, 0.5 / max(y.mean(), 0.05), 0.5 / max(1 - y.mean(), 0.05))
         m = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
@@ -240,13 +240,15 @@ def fit_model(docs: DataFrame, labels: DataFrame, max_labelled: int = 8_000) ->
     if not len(found):
         return None
     xs = [np.frombuffer(b, np.float32).reshape(-1, FEATURES) for b in found["bag"]]
-    return AttentionModel().fit(np.concatenate(xs).astype(np.float64), np.repeat(np.arange(len(xs)), [len(x) for x in xs]), found["y"].to_numpy())
+    return AttentionModel().fit(np.concatenate(xs), np.repeat(np.arange(len(xs)), [len(x) for x in xs]), found["y"].to_numpy())
 
 
 def score(text: Column, model: AttentionModel | None) -> Column:
     @F.pandas_udf("double")
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score(texts.tolist()) if model is not None else np.full(len(texts), 0.5))
+        out = pd.Series(model.score(texts.tolist()) if model is not None else np.full(len(texts), 0.5))
+        release()
+        return out
 
     return run(text)
 

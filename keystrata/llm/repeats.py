@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keystrata.llm.common import fresh, stash, text_or_empty
+from keystrata.llm.common import bytes_of, fresh, release, stash, text_or_empty
 
 #: Bytes of an anchor's gram; bytes of text hashed at a time; rows of a batch of the index; contexts for each task.
 GRAM, BLOCK, BATCH, SHARD = 64, 1 << 20, 4096, 40_000
@@ -82,14 +82,6 @@ def anchors(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarr
     return found, h[found]
 
 
-def _bytes_of(column: pa.Array) -> tuple[memoryview, np.ndarray]:
-    """The bytes of a text column without nulls, and their bounds."""
-    column = column.cast(pa.large_string())
-    _, ends, data = column.buffers()
-    bounds = np.frombuffer(ends, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
-    return memoryview(data if data is not None else b""), bounds
-
-
 def _blocks(bounds: np.ndarray, length: int) -> Iterator[tuple[int, int, int, int]]:
     """``first text, end text, from byte, to byte``: runs of whole texts, or overlapping parts of a long one."""
     i, n = 0, len(bounds) - 1
@@ -110,7 +102,8 @@ def _find(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest, reach = xxhash.xxh64_intdigest, length - GRAM
         for batch in batches:
-            raw, bounds = _bytes_of(batch.column("t"))
+            release()
+            raw, bounds = bytes_of(batch.column("t"))
             data = np.frombuffer(raw, np.uint8)
             last = np.full(1, -1, np.int64)
             for i, j, lo, hi in _blocks(bounds, length):
@@ -134,7 +127,7 @@ def _find(length: int):
 def _cut(length: int, text_name: str, wanted_name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, bounds = _bytes_of(batch.column(text_name))
+            raw, bounds = bytes_of(batch.column(text_name))
             for i, wanted in enumerate(batch.column(wanted_name).to_pylist()):
                 start, step = int(bounds[i]), 2000
                 for k in range(0, len(wanted), step):
@@ -258,6 +251,7 @@ def _index(length: int):
                 if sum(b.num_rows for b in waiting) >= BATCH:
                     flush()
         flush()
+        release()
         if contexts:
             hit = family.high >= 0
             yield pa.RecordBatch.from_arrays([pa.array(family.grams[hit]), pa.array(np.concatenate(contexts)[hit]), pa.array(family.low[hit]), pa.array(family.high[hit])], names=["gram", "context", "low", "high"])
@@ -278,7 +272,8 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _apply(text_name: str, span_name: str, as_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, bounds = _bytes_of(batch.column(text_name))
+            release()
+            raw, bounds = bytes_of(batch.column(text_name))
             all_spans, kept = [], []
             for i, spans in enumerate(batch.column(span_name).to_pylist()):
                 merged = _merge([(s["start"], s["stop"]) for s in spans or []])

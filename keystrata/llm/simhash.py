@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from keystrata.llm.common import fresh, stash, text_or_empty
+from keystrata.llm.common import fresh, release, stash, text_or_empty
 from keystrata.llm.components import components
 
 #: Cells up to this size list their pairs; larger ones meet at shared bit strings.
@@ -54,7 +54,9 @@ def simhash(text: str | None, width: int = 3, seed: int = 42) -> int:
 def fingerprint(text: Column, width: int = 3) -> Column:
     @F.pandas_udf(LongType())
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([simhash(t, width) for t in texts], dtype="int64")
+        out = pd.Series([simhash(t, width) for t in texts], dtype="int64")
+        release()
+        return out
 
     return run(text)
 
@@ -145,6 +147,7 @@ def sampled_prints(text: Column, width: int, tables: int, sample: int) -> Column
                 joint = (joint ^ drawn[:, k]) * np.uint64(0x9E3779B97F4A7C15)
                 joint ^= joint >> np.uint64(32)
             out.append(joint.view(np.int64))
+        release()
         return pd.DataFrame({"n": counts, "prints": out})
 
     return run(text)
@@ -175,6 +178,7 @@ def similar_links(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, t
 
     @F.pandas_udf("array<long>")
     def shingled(texts: pd.Series) -> pd.Series:
+        release()
         return pd.Series([_shingles(t, width).view(np.int64) for t in texts], dtype="object")
 
     one_each = docs.join(nodes.hint("shuffle_hash"), "node").groupBy("node").agg(F.first("text").alias("text"))

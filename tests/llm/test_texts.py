@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -49,7 +50,7 @@ def test_encoder_equals_the_tokenizer():
     texts = ["".join(rng.choice(plain if k % 2 else wide + plain[60:120]) for _ in range(50)) for k in range(600)]
     texts += ["", " ", "it's we'll I'D o'x ''s don't've 12a3", "a<|endoftext|>b", "x" * 500]
     tokenizer = Tokenizer.from_file(packing.word_tokenizer())
-    got = packing.WordEncoder(packing.word_tokenizer()).encode(texts)
+    got = packing.WordEncoder(packing.word_tokenizer()).encode(pa.array(texts))
     assert [np.frombuffer(b, "<u4").tolist() for b in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 

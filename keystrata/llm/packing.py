@@ -32,9 +32,9 @@ from keystrata.llm.common import bytes_of, fresh, release, stash
 
 RANK_ROWS = 20_000
 #: Bytes of text encoded at a time.
-TEXT_BLOCK = 2 << 20
+TEXT_BLOCK = 4 << 20
 #: Words and parts of words whose ids a Python worker remembers, and the longest of them.
-WORDS_KEPT, PARTS_KEPT, LONGEST_KEPT = 50_000, 200_000, 64
+WORDS_KEPT, PARTS_KEPT, LONGEST_KEPT = 50_000, 400_000, 64
 #: White space for ``str.split`` but not for the tokenizers' ``\s``.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 
@@ -54,13 +54,14 @@ class WordEncoder:
     #: 0 white space, 1 letters, 2 digits, 3 other signs.
     KIND = np.array([0 if b in b" \t\n\r\x0b\x0c" else 1 if chr(b).isalpha() or b > 127 else 2 if 48 <= b <= 57 else 3 for b in range(256)], np.int8)
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, kept: int = PARTS_KEPT, block: int = TEXT_BLOCK) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.merges = Tokenizer(self.tokenizer.model)
         self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.kept, self.block = kept, block
         self.parts: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         self.other: dict[str, bytes] = {}
@@ -76,7 +77,7 @@ class WordEncoder:
 
     def _merge(self, parts: list[bytes]) -> list[bytes]:
         """Ids of distinct parts. Of those remembered, the ones met since the last turnover outlive the next."""
-        if len(self.parts) > PARTS_KEPT // 2:
+        if len(self.parts) > self.kept // 2:
             self.parts, self.older = {}, self.parts
         kept, older = self.parts, self.older
         missing = [p for p in parts if p not in kept]
@@ -168,7 +169,7 @@ class WordEncoder:
         raw, ends = bytes_of(texts)
         every, at = np.frombuffer(raw, np.uint8), 0
         while at < len(texts):
-            to = max(at + 1, int(np.searchsorted(ends, ends[at] + TEXT_BLOCK, side="right")) - 1)
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + self.block, side="right")) - 1)
             lo, bounds = int(ends[at]), ends[at : to + 1] - ends[at]
             data = every[lo : int(ends[to])]
             bad = np.flatnonzero(self.ODD[data])
@@ -187,18 +188,22 @@ class WordEncoder:
             at = to
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[tuple, WordEncoder] = {}
 
 
-def pieces(text: Column, tokenizer: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = True) -> Column:
-    """Array of ``piece, start, length, ids_crc32`` and, if asked for, ``ids``."""
+def pieces(text: Column, tokenizer: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = True, kept: int = PARTS_KEPT, block: int = TEXT_BLOCK) -> Column:
+    """Array of ``piece, start, length, ids_crc32`` and, if asked for, ``ids``.
+
+    ``kept`` and ``block`` trade a worker's memory (parts remembered, bytes encoded at a time) for time.
+    """
     kind = "array<struct<piece:int,start:long,length:long,ids_crc32:long" + (",ids:array<int>" if with_ids else "") + ">>"
 
     @F.arrow_udf(kind)
     def run(texts: pa.Array) -> pa.Array:
-        if tokenizer not in _ENCODERS:
-            _ENCODERS[tokenizer] = WordEncoder(tokenizer)
-        encoder = _ENCODERS[tokenizer]
+        own = (tokenizer, kept, block)
+        if own not in _ENCODERS:
+            _ENCODERS[own] = WordEncoder(*own)
+        encoder = _ENCODERS[own]
         cut, rows, ids = [0], [], []
         for buf in encoder.encode(texts):
             buf += int(end_id).to_bytes(4, "little")
@@ -222,10 +227,10 @@ def pieces(text: Column, tokenizer: str, capacity: int = 2048, end_id: int = 0,
     return run(text)
 
 
-def tokenize(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = True) -> DataFrame:
+def tokenize(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = True, **memory: int) -> DataFrame:
     """One row per piece: the columns of ``docs`` but its text, and those of ``pieces`` (reserved names)."""
     (s_all,) = fresh(docs, "pieces")
-    rows = docs.withColumn(s_all, pieces(F.col("text"), tokenizer, capacity, end_id, with_ids)).drop("text")
+    rows = docs.withColumn(s_all, pieces(F.col("text"), tokenizer, capacity, end_id, with_ids, **memory)).drop("text")
     keep = [c for c in rows.columns if c != s_all]
     return rows.select(*keep, F.inline(s_all))
 

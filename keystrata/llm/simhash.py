@@ -18,6 +18,7 @@ from itertools import accumulate
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
@@ -27,6 +28,8 @@ from keystrata.llm.components import components
 
 #: Cells up to this size list their pairs; larger ones meet at shared bit strings.
 DENSE = 16
+#: Shingles of a block of a large cell's texts; blocks are searched two at a time.
+BLOCK = 1 << 20
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -153,12 +156,90 @@ def sampled_prints(text: Column, width: int, tables: int, sample: int) -> Column
     return run(text)
 
 
+def _connect(nodes: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Pairs of ``similarity`` or more that connect exactly what all such pairs and equal ``roots`` connect.
+
+    A breadth-first search over texts not reached yet. Of each text only the rarest shingles are indexed, as many as one
+    of them must be shared at ``similarity`` (a prefix filter), and the texts met there are compared in full.
+    """
+    n = np.array([len(s) for s in sets], np.int64)
+    ends = np.concatenate([[0], np.cumsum(n)])
+    _, flat, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(counts), np.int64)
+    rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+    owner = np.repeat(np.arange(len(n)), n)
+    flat = rank[flat.reshape(-1)]
+    flat = flat[np.lexsort((flat, owner))]
+    prefix = n - np.ceil(similarity * n - 1e-6).astype(np.int64) + 1
+    first = np.arange(len(flat)) - ends[owner] < prefix[owner]
+    token, holder = flat[first], owner[first]
+    by_token = np.argsort(token, kind="stable")
+    holder = holder[by_token]
+    posted = np.concatenate([[0], np.cumsum(np.bincount(token, minlength=len(counts)))])
+    _, root = np.unique(roots, return_inverse=True)
+    by_root = np.argsort(root, kind="stable")
+    members = np.concatenate([[0], np.cumsum(np.bincount(root))])
+    reached, mark, links = np.zeros(len(n), bool), np.zeros(len(counts), bool), []
+    for start in range(len(n)):
+        queue = [] if reached[start] else by_root[members[root[start]] : members[root[start] + 1]].tolist()
+        reached[queue] = True
+        while queue:
+            u = queue.pop()
+            own = flat[ends[u] : ends[u + 1]]
+            met = np.concatenate([holder[posted[t] : posted[t + 1]] for t in own[: prefix[u]]])
+            met = np.unique(met[~reached[met]])
+            met = met[np.minimum(n[met], n[u]) >= similarity * np.maximum(n[met], n[u])]
+            if not len(met):
+                continue
+            mark[own] = True
+            shared = np.array([np.count_nonzero(mark[flat[ends[v] : ends[v + 1]]]) for v in met])
+            mark[own] = False
+            for v in met[shared >= similarity * (n[met] + n[u] - shared)].tolist():
+                links.append((int(nodes[u]), int(nodes[v])))
+                if not reached[v]:
+                    more = by_root[members[root[v]] : members[root[v] + 1]].tolist()
+                    reached[more] = True
+                    queue += more
+    return links
+
+
+def _links_of_large_cells(large: DataFrame, links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Edges that, with ``links``, connect exactly what all similar pairs in cells ``table, print, node, n`` connect.
+
+    Cells that ``links`` connect already need no more. The others are cut into blocks of ``BLOCK`` shingles, groups that
+    are connected side by side, and each two blocks of a cell are searched together unless they are one group.
+    """
+    cell = ["table", "print"]
+    known = components(links)
+    rows = large.select(*cell, "n", F.col("node").alias("of")).join(known, F.col("of") == F.col("node"), "left").select(*cell, "of", "n", F.coalesce("root", "of").alias("root"))
+    whole = Window.partitionBy(*cell)
+    rows = rows.withColumn("lo", F.min("root").over(whole)).withColumn("hi", F.max("root").over(whole)).where("lo <> hi").drop("lo", "hi")
+    through = whole.orderBy("root", "of").rowsBetween(Window.unboundedPreceding, 0)
+    rows = stash(rows.withColumn("block", F.floor((F.sum("n").over(through) - F.col("n")) / BLOCK)), "similar-rest")
+    blocks = rows.groupBy(*cell, "block").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    left = blocks.select(*cell, F.col("block").alias("i"), F.col("lo").alias("i_lo"), F.col("hi").alias("i_hi"))
+    two = left.join(blocks.withColumnRenamed("block", "j"), cell).where("i <= j and not (i_lo = hi and lo = i_hi)")
+    two = two.select(*cell, "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    unit = [*cell, "i", "j"]
+    units = rows.join(two, [*cell, "block"]).select(*unit, "of", "root").join(sets, F.col("of") == F.col("node")).select(*unit, "of", "root", "s")
+
+    def run(table: pa.Table) -> pa.Table:
+        lists = table.column("s").combine_chunks()
+        values, ends = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
+        found = _connect(table.column("of").to_numpy(), table.column("root").to_numpy(), [values[a:b] for a, b in zip(ends, ends[1:])], similarity)
+        release()
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return stash(units.groupBy(*unit).applyInArrow(run, "a long, b long").distinct(), "similar-rest-links")
+
+
 def similar_links(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, tables: int = 14, sample: int = 4) -> DataFrame:
     """``node, text`` (equal texts, equal node) -> verified edges ``a, b`` of Jaccard similarity ``similarity`` or more.
 
-    Cells of up to ``DENSE`` texts pair all of their members; in larger ones, families of copies, each is paired with
-    the smallest node and the one before it in every table, so that rows stay linear. A pair of similarity 0.8 is missed
-    by all tables with a probability below 0.001.
+    Cells of up to ``DENSE`` texts pair all of their members. In larger ones each is paired with the smallest node and
+    the one before it, which connects most families of copies in linear rows; what these pairs leave apart in a cell is
+    then searched exactly. Not all pairs of a large cell are returned, but all are connected. A pair of similarity 0.8
+    shares no cell with a probability below 0.001.
     """
     made = docs.select("node", sampled_prints(F.col("text"), width, tables, sample).alias("p"))
     cells = made.select("node", F.col("p.n").alias("n"), F.posexplode("p.prints").alias("table", "print")).distinct()
@@ -174,7 +255,7 @@ def similar_links(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, t
         pairs = pairs.unionByName(star.where("a < b"))
     # Sizes alone rule out most chance meetings.
     pairs = stash(pairs.where(F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n")).select("a", "b").distinct(), "similar-pairs")
-    nodes = stash(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "similar-nodes")
+    nodes = stash(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(large.select("node")).distinct(), "similar-nodes")
 
     @F.pandas_udf("array<long>")
     def shingled(texts: pd.Series) -> pd.Series:
@@ -185,7 +266,8 @@ def similar_links(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, t
     sets = stash(one_each.select("node", shingled("text").alias("s")), "similar-sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("a_s")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("b_s")), "b")
     shared = F.size(F.array_intersect("a_s", "b_s"))
-    return both.where(shared >= similarity * (F.size("a_s") + F.size("b_s") - shared)).select("a", "b")
+    links = stash(both.where(shared >= similarity * (F.size("a_s") + F.size("b_s") - shared)).select("a", "b"), "similar-links")
+    return links if large.isEmpty() else links.unionByName(_links_of_large_cells(large, links, sets, similarity))
 
 
 def keep_one(docs: DataFrame, *, similarity: float = 0.8) -> DataFrame:

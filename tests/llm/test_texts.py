@@ -225,6 +225,28 @@ def test_keep_one(spark, docs, none):
     assert simhash.keep_one(none).count() == 0
 
 
+@pytest.mark.parametrize("block", [1 << 20, 9000])
+def test_large_cells_connect_what_brute_force_connects(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng, texts = random.Random(block), []
+    for seed, edits in ((31, 120), (32, 60)):  # edits are 0.85 like their base, but not like each other
+        base = words(400, seed).split()
+        texts.append(" ".join(base))
+        for k in range(edits):
+            at = set(rng.sample(range(5, 395, 6), 6))
+            texts.append(" ".join(f"new{k}" if i in at else w for i, w in enumerate(base)))
+    texts += [words(400, 33), "", "one two"]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} if t else set() for t in texts]
+    nodes = rng.sample(range(-(10**9), 10**9), len(texts))
+    of = dict(zip(nodes, sets))
+    alike = lambda a, b: bool(of[a] & of[b]) and len(of[a] & of[b]) >= 0.8 * len(of[a] | of[b])
+    links = simhash.similar_links(spark.createDataFrame(list(zip(nodes, texts)), "node long, text string")).collect()
+    assert all(alike(r.a, r.b) for r in links)
+    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    want = simple_components(sorted(nodes), alike)
+    assert {p: got.get(p, p) for p in nodes} == want and len(set(want.values())) == 5
+
+
 # Weighted sampling
 
 

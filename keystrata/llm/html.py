@@ -6,20 +6,23 @@ styles, templates, comments, and elements that are hidden by attribute or inline
 own, with blank lines where margins would be; white space collapses outside ``pre``; list items get bullets or numbers,
 indented by depth; table cells are padded to the width of their column, with spans counted.
 
-Null and empty pages give an empty text; broken markup never fails; trees deeper than ``DEPTH`` are flattened there, text
-included; rows repeat freely; extra columns pass through; an empty table gives an empty result.
+Null and empty pages give an empty text; broken markup never fails; trees may be of any depth (only white space is
+bounded: lines are indented by at most ``INDENT``, or nested lists would take space quadratic in the page), in linear
+time but for tables within tables, whose lines are laid out once a level; rows repeat freely; extra columns pass
+through; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DEPTH = 150
+INDENT = 600
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("head title script style template noscript datalist audio video canvas iframe object svg math".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -54,6 +57,7 @@ class TreeBuilder:
     def __init__(self) -> None:
         self.root = Node("#root", {})
         self.open = [self.root]
+        self.places: dict[str, list[int]] = {}  # where in ``open`` the elements of a tag are
 
     def feed(self, page: str) -> None:
         at = 0
@@ -107,14 +111,19 @@ class TreeBuilder:
         if data:
             self.handle_data(unescape(data) if refs and "&" in data else data)
 
+    def _last(self, tags: Iterable[str]) -> int:
+        """Place of the innermost open element with one of the tags; 0 if there is none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def _cut(self, at: int) -> None:
+        for node in self.open[at:]:
+            self.places[node.tag].pop()
+        del self.open[at:]
+
     def _close(self, tags: set[str], shields: set[str]) -> None:
-        for at in range(len(self.open) - 1, 0, -1):
-            if self.open[at].tag in tags:
-                del self.open[at:]
-                self._close(tags, shields)
-                return
-            if self.open[at].tag in shields:
-                return
+        shield = self._last(shields)
+        while (at := self._last(tags)) > shield:
+            self._cut(at)
 
     def handle_starttag(self, tag: str, attrs: dict[str, str]) -> None:
         if tag not in IN_HEAD and tag != "html" and any(n.tag == "head" for n in self.open[:3]):
@@ -123,22 +132,20 @@ class TreeBuilder:
             self._close({"p"}, {"td", "th", "table", "li", "button", "div", "section", "article", "blockquote"})
         if tag in ENDS:
             self._close(*ENDS[tag])
-        if tag in ("html", "body") and any(n.tag == tag for n in self.open):
+        if tag in ("html", "body") and self.places.get(tag):
             return
         node = Node(tag, attrs)
         self.open[-1].children.append(node)
-        if tag not in VOID and len(self.open) < DEPTH:
+        if tag not in VOID:
+            self.places.setdefault(tag, []).append(len(self.open))
             self.open.append(node)
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "br":
             self.handle_starttag("br", {})
-        for at in range(len(self.open) - 1, 0, -1):
-            if self.open[at].tag == tag:
-                del self.open[at:]
-                return
-            if self.open[at].tag == "table" and tag not in ("body", "html"):
-                return
+        at = self._last({tag})
+        if at and (tag in ("body", "html") or at >= self._last({"table"})):
+            self._cut(at)
 
     def handle_data(self, data: str) -> None:
         if any(n.tag == "head" for n in self.open[:3]) and self.open[-1].tag in ("head", "html") and data.strip():
@@ -202,15 +209,29 @@ class Layout:
         return "\n".join(self.lines).strip("\n")
 
 
-def _render(node: Node, out: Layout, kept: bool, depth: int) -> None:
+#: A step of rendering: it yields the steps that it waits for, so that no depth of the tree is too much for Python's stack.
+Step = Iterator["Step"]
+
+
+def _run(step: Step) -> None:
+    stack = [step]
+    while stack:
+        inner = next(stack[-1], None)
+        if inner is None:
+            stack.pop()
+        else:
+            stack.append(inner)
+
+
+def _render(node: Node, out: Layout, kept: bool, depth: int) -> Step:
     for child in node.children:
         if isinstance(child, str):
             out.text(child, kept)
         elif not hidden(child):
-            _element(child, out, kept, depth)
+            yield _element(child, out, kept, depth)
 
 
-def _element(node: Node, out: Layout, kept: bool, depth: int) -> None:
+def _element(node: Node, out: Layout, kept: bool, depth: int) -> Step:
     tag = node.tag
     if tag == "br":
         out.line(True)
@@ -224,7 +245,9 @@ def _element(node: Node, out: Layout, kept: bool, depth: int) -> None:
         return
     elif tag == "table":
         out.gap(1)
-        for line in _table(node):
+        lines: list[str] = []
+        yield _table(node, lines)
+        for line in lines:
             out.text(line, True)
             out.line(True)
         out.gap(1)
@@ -236,33 +259,33 @@ def _element(node: Node, out: Layout, kept: bool, depth: int) -> None:
                 mark = f"{n}. " if tag == "ol" else "- "
                 n += 1
                 out.gap(0)
-                before, out.indent, out.mark = out.indent, out.indent + " " * len(mark), mark
-                _render(child, out, kept, depth + 1)
+                before, out.indent, out.mark = out.indent, (out.indent + " " * len(mark))[:INDENT], mark
+                yield _render(child, out, kept, depth + 1)
                 out.gap(0)
                 out.indent, out.mark = before, ""
             elif isinstance(child, str):
                 out.text(child, kept)
             elif not hidden(child):
-                _element(child, out, kept, depth + 1)
+                yield _element(child, out, kept, depth + 1)
         out.gap(1 if depth == 0 else 0)
     elif tag in BLOCK:
         out.gap(1 if tag in SPACED else 0)
         before = out.indent
         if tag in ("blockquote", "dd"):
-            out.indent += "    "
-        _render(node, out, kept or tag == "pre", depth)
+            out.indent = (out.indent + "    ")[:INDENT]
+        yield _render(node, out, kept or tag == "pre", depth)
         out.gap(1 if tag in SPACED else 0)
         out.indent = before
     else:
-        _render(node, out, kept or tag == "textarea", depth)
+        yield _render(node, out, kept or tag == "textarea", depth)
 
 
-def _table(node: Node) -> list[str]:
-    """Lines of a table: rows of cells, each padded to its column's width."""
+def _table(node: Node, out: list[str]) -> Step:
+    """Adds the lines of a table to ``out``: rows of cells, each padded to its column's width."""
     rows: list[list[tuple[list[str], int]]] = []
     lead, tail = [], []
 
-    def collect(part: Node) -> None:
+    def collect(part: Node) -> Step:
         for child in part.children:
             if isinstance(child, str):
                 if child.strip():
@@ -270,28 +293,28 @@ def _table(node: Node) -> list[str]:
             elif hidden(child):
                 continue
             elif child.tag in ("thead", "tbody", "tfoot"):
-                collect(child)
+                yield collect(child)
             elif child.tag == "tr":
                 cells, stray = [], []
                 for cell in child.children:
                     if isinstance(cell, Node) and cell.tag in ("td", "th"):
                         if not hidden(cell):
                             inner = Layout()
-                            _render(cell, inner, False, 0)
+                            yield _render(cell, inner, False, 0)
                             span = cell.attrs.get("colspan") or "1"
                             cells.append((inner.finish().split("\n"), min(1000, max(1, int(span))) if span.isdigit() and len(span) < 5 else 1))
                     else:
                         stray.append(cell)
                 rest = Node("#stray", {})
                 rest.children = stray
-                lead.extend(_inner(rest))
+                yield _inner(rest, lead)
                 rows.append(cells)
             else:
                 rest = Node("#stray", {})
                 rest.children = [child]
-                (tail if child.tag == "tfoot" else lead).extend(_inner(rest))
+                yield _inner(rest, tail if child.tag == "tfoot" else lead)
 
-    collect(node)
+    yield collect(node)
     width: dict[int, int] = {}
     for cells in rows:
         at = 0
@@ -299,7 +322,7 @@ def _table(node: Node) -> list[str]:
             if span == 1:
                 width[at] = max(width.get(at, 0), *(len(x) for x in lines))
             at += span
-    out = list(lead)
+    out += lead
     for cells in rows:
         for k in range(max((len(lines) for lines, _ in cells), default=0)):
             at, pieces = 0, []
@@ -308,21 +331,21 @@ def _table(node: Node) -> list[str]:
                 pieces.append((lines[k] if k < len(lines) else "").ljust(room))
                 at += span
             out.append("  ".join(pieces).rstrip())
-    return out + tail
+    out += tail
 
 
-def _inner(node: Node) -> list[str]:
+def _inner(node: Node, out: list[str]) -> Step:
     inner = Layout()
-    _render(node, inner, False, 0)
+    yield _render(node, inner, False, 0)
     text = inner.finish()
-    return text.split("\n") if text else []
+    out += text.split("\n") if text else []
 
 
 def visible_text(html: str | None) -> str:
     builder = TreeBuilder()
     builder.feed(html or "")
     out = Layout()
-    _render(builder.root, out, False, 0)
+    _run(_render(builder.root, out, False, 0))
     return out.finish()
 
 

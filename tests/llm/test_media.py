@@ -56,6 +56,20 @@ def test_time_is_linear():
         html.visible_text(page)
 
 
+@pytest.mark.parametrize("deep", ["<div>", "<b>", "<section><p>", "<custom><span>"])
+def test_depth_changes_nothing(deep):
+    page = "<div hidden>no</div><i style='display:none'>no<b>no</b></i><script>no</script><style>no</style><p>a<ul><li>b</ul><table><tr><td>c<td>d</table><pre> e\n  f</pre>"
+    for n in (200, 3000):
+        assert html.visible_text(deep * n + page) == html.visible_text(page) == "a\n\n- b\n\nc  d\n\n e\n  f"
+    assert html.visible_text("<div hidden>" + "<span>" * 200 + "<div>no</div>no" + "</span>" * 200 + "no</div>yes") == "yes"
+    assert html.visible_text("<div hidden>no" + "<blockquote><ul><li>no" * 5000) == ""
+
+
+def test_many_open_elements_take_linear_time():
+    for page in ("<span>" * 50_000 + "<h1>x</h1></i>" * 50_000, "<blockquote><ul><li>x" * 5_000):
+        assert "x" in html.visible_text(page)
+
+
 def test_extraction_keeps_rows(spark):
     rows = spark.createDataFrame([(1, "<p>a"), (1, "<p>a"), (2, None)], "page_id int, html string")
     assert sorted(tuple(r) for r in rows.select("page_id", html.extract_text(F.col("html")).alias("t")).collect()) == [(1, "a"), (1, "a"), (2, "")]

@@ -4,7 +4,8 @@ A tree is built with implied end tags (paragraphs, list items, definitions, tabl
 end tags that close up to their partner or are ignored. What a browser shows is emitted, all of it: not heads, scripts,
 styles, templates, comments, and elements that are hidden by attribute or inline style. Blocks stand on lines of their
 own, with blank lines where margins would be; white space collapses outside ``pre``; list items get bullets or numbers,
-indented by depth; table cells are padded to the width of their column, with spans counted.
+indented by depth; table cells are padded to the width of their column, with spans over columns and rows counted.
+Drawings show the text elements in them, a line each, formulas their characters in order, button inputs their values.
 
 Null and empty pages give an empty text; broken markup never fails; trees may be of any depth (only white space is
 bounded: lines are indented by at most ``INDENT``, or nested lists would take space quadratic in the page), in linear
@@ -24,7 +25,9 @@ from pyspark.sql import functions as F
 
 INDENT = 600
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("head title script style template noscript datalist audio video canvas iframe object svg math".split())
+HIDDEN = frozenset("head title script style template noscript datalist audio video canvas iframe object".split())
+#: What is not shown inside of drawings and formulas.
+UNSEEN = {"svg": frozenset("defs desc metadata symbol clippath mask marker pattern".split()), "math": frozenset(("annotation", "annotation-xml"))}
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 SPACED = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 ol p pre table ul".split())
 IN_HEAD = frozenset("base basefont bgsound head link meta noscript script style template title".split())
@@ -94,12 +97,19 @@ class TreeBuilder:
         name = _NAME.match(page, lt)
         tag = name[1].lower()
         if page[lt + 1] == "/":
-            self.handle_endtag(tag)
+            self.handle_endtag("#text" if tag == "text" and self.places.get("#text") else tag)
             return end
         attrs: dict[str, str] = {}
         for m in _ATTRIBUTE.finditer(page, name.end(), max(name.end(), end - 1)):
             attrs.setdefault(m[1].lower(), unescape((m[2] or "").strip("\"'")))
-        self.handle_starttag(tag, attrs)
+        foreign = next((t for t in UNSEEN if self.places.get(t)), "svg" if tag == "svg" else "math" if tag == "math" else "")
+        if foreign and tag in BLOCK and not any(self.places.get(t) for t in ("foreignobject", "desc", "annotation-xml")):
+            self._close(set(UNSEEN), set())  # blocks end drawings and formulas
+        elif foreign and tag not in VOID and tag not in BLOCK and page[end - 2] == "/":
+            return end  # ``<path/>`` holds nothing
+        if foreign and tag in UNSEEN[foreign]:
+            attrs["hidden"] = ""
+        self.handle_starttag("#text" if foreign == "svg" and tag == "text" else tag, attrs)
         if tag in RAW:
             stop = RAW[tag].search(page, end)
             inner = page[end : stop.start() if stop else len(page)]
@@ -156,7 +166,9 @@ class TreeBuilder:
 def hidden(node: Node) -> bool:
     if node.tag in HIDDEN or "hidden" in node.attrs:
         return True
-    if node.tag == "input" or (node.tag == "dialog" and "open" not in node.attrs):
+    if node.tag == "input" and (node.attrs.get("type") or "").strip().lower() not in ("submit", "reset", "button"):
+        return True
+    if node.tag == "dialog" and "open" not in node.attrs:
         return True
     return bool(_GONE.search(node.attrs.get("style") or ""))
 
@@ -241,6 +253,12 @@ def _element(node: Node, out: Layout, kept: bool, depth: int) -> Step:
         out.gap(0)
     elif tag == "img":
         out.text(node.attrs.get("alt") or "", False)
+    elif tag == "input":
+        out.text(node.attrs.get("value") or "", False)
+    elif tag == "#text":
+        out.gap(0)
+        yield _render(node, out, kept, depth)
+        out.gap(0)
     elif tag == "wbr":
         return
     elif tag == "table":
@@ -280,10 +298,16 @@ def _element(node: Node, out: Layout, kept: bool, depth: int) -> Step:
         yield _render(node, out, kept or tag == "textarea", depth)
 
 
+def _number(cell: Node, name: str) -> int:
+    found = cell.attrs.get(name) or ""
+    return int(found) if re.fullmatch("[0-9]{1,5}", found) else 1
+
+
 def _table(node: Node, out: list[str]) -> Step:
     """Adds the lines of a table to ``out``: rows of cells, each padded to its column's width."""
     rows: list[list[tuple[list[str], int]]] = []
     lead, tail = [], []
+    held: list[tuple[int, int, int]] = []  # columns that cells of rows above take, and the row where that ends
 
     def collect(part: Node) -> Step:
         for child in part.children:
@@ -293,18 +317,30 @@ def _table(node: Node, out: list[str]) -> Step:
             elif hidden(child):
                 continue
             elif child.tag in ("thead", "tbody", "tfoot"):
+                held.clear()
                 yield collect(child)
+                held.clear()
             elif child.tag == "tr":
-                cells, stray = [], []
+                cells, stray, coming, at, k = [], [], [], 0, 0
                 for cell in child.children:
                     if isinstance(cell, Node) and cell.tag in ("td", "th"):
                         if not hidden(cell):
                             inner = Layout()
                             yield _render(cell, inner, False, 0)
-                            span = cell.attrs.get("colspan") or "1"
-                            cells.append((inner.finish().split("\n"), min(1000, max(1, int(span))) if span.isdigit() and len(span) < 5 else 1))
+                            free = at
+                            while k < len(held) and held[k][0] <= free:
+                                free = max(free, held[k][1])
+                                k += 1
+                            if free > at:
+                                cells.append(([""], free - at))
+                            span, down = min(1000, max(1, _number(cell, "colspan"))), _number(cell, "rowspan")
+                            cells.append((inner.finish().split("\n"), span))
+                            at = free + span
+                            if down != 1:
+                                coming.append((free, at, len(rows) + down if down else 1 << 60))
                     else:
                         stray.append(cell)
+                held[:] = sorted(h for h in [*held, *coming] if h[2] > len(rows) + 1)
                 rest = Node("#stray", {})
                 rest.children = stray
                 yield _inner(rest, lead)

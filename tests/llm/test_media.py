@@ -56,6 +56,25 @@ def test_time_is_linear():
         html.visible_text(page)
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("a<svg><title>n</title><desc>n</desc><path d='M0'/><defs/><text>b <tspan>c</tspan></text><text>d</text></svg>e", "a\nb c\nd\ne"),
+        ("<text>a</text><text>b</text><desc>c</desc>", "abc"),
+        ("so <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation>n</annotation></semantics></math>.", "so x=2."),
+        ("<input type=hidden value=n><input value=n><input type=SUBMIT value='Go on'> <input type=reset value=Clear><input type=button>", "Go on Clear"),
+        ("<table><tr><td rowspan=2>aa<td>b<tr><td>c<tr><td>d<td>e</table>", "aa  b\n    c\nd   e"),
+        ("<table><tr><td>a<td rowspan=0 colspan=2>b<td>c<tr><td>d<td>e<tr><td>f<td>g</table>", "a  b   c\nd      e\nf      g"),
+        ("<svg><defs><p>a<br/>b", "a\nb"),
+        ("<svg><foreignObject><p>a<br/>b</p></foreignObject><text>c</svg>", "a\nb\n\nc"),
+        ("<table><tbody><tr><td rowspan=9>a<td>b<tbody><tr><td>c<td>d</table>", "a  b\nc  d"),
+        ("<table><tr><td colspan=\u00b2 rowspan=\u00b2>a<td>b</table>", "a  b"),
+    ],
+)
+def test_rendering_of_drawings_formulas_buttons_and_row_spans(page, text):
+    assert html.visible_text(page) == text
+
+
 @pytest.mark.parametrize("deep", ["<div>", "<b>", "<section><p>", "<custom><span>"])
 def test_depth_changes_nothing(deep):
     page = "<div hidden>no</div><i style='display:none'>no<b>no</b></i><script>no</script><style>no</style><p>a<ul><li>b</ul><table><tr><td>c<td>d</table><pre> e\n  f</pre>"

@@ -5,9 +5,10 @@ bytes and their successions, word lengths, repeats within the passage and the do
 layer, and weighed by gated attention, ``softmax(w . (tanh(V h) * sigmoid(U h)))``. The weighted sum of the encodings
 gives the score. Labels exist for documents only; attention learns which passages decide.
 
-The model is fitted in numpy on ``max_labelled`` labelled rows at most, those with the least hash of their id, and on
-``BAG`` evenly spaced passages of each at most; both bounds are for fitting alone. Scoring reads each text once, in parts
-of ``PART`` bytes (attention sums are kept, so a text may be of any length), and moves nothing.
+The model is fitted in numpy on ``max_labelled`` labelled rows at most, those with the least hash of their id (a bound
+for fitting alone), and on all passages of each: the driver keeps them in a file and reads some documents at a time.
+Scoring reads each text once, in parts of ``PART`` bytes (attention sums are kept, so a text may be of any length), and
+moves nothing.
 
 Null and empty texts are one passage without words and get the score that the model gives it; several labels of one
 document count by their mean; null labels are left out; without labels every score is 0.5; rows repeat freely; extra
@@ -16,6 +17,7 @@ columns pass through; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,9 +26,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keystrata.llm.common import release, text_or_empty
+from keystrata.llm.common import release, stash, text_or_empty
 
-PASSAGE, BAG, PART = 64, 32, 1 << 19
+PASSAGE, PART = 64, 1 << 19
+#: Passages whose gradients are taken at once, and bytes of passages that the driver fetches at once.
+STEP, FETCH = 1 << 14, 1 << 25
 
 
 def _kinds() -> tuple[np.ndarray, int]:
@@ -171,7 +175,9 @@ class AttentionModel:
     def fit(self, x: np.ndarray, owner: np.ndarray, y: np.ndarray, epochs: int = 25, rate: float = 0.01, decay: float = 1e-4, size: int = 256, seed: int = 5) -> AttentionModel:
         """``owner`` ascending. Adam on the cross entropy, classes in balance."""
         rng, docs = np.random.default_rng(seed), len(y)
-        self.mean, self.scale = x.mean(0, dtype=np.float64), x.std(0, dtype=np.float64) + 0.02
+        blocks = range(0, len(x), STEP)
+        self.mean = sum(x[at : at + STEP].sum(0, dtype=np.float64) for at in blocks) / len(x)
+        self.scale = np.sqrt(sum(np.square(x[at : at + STEP] - self.mean).sum(0) for at in blocks) / len(x)) + 0.02
         starts = np.searchsorted(owner, np.arange(docs + 1))
         weight = np.where(y > 0.5, 0.5 / max(y.mean(), 0.05), 0.5 / max(1 - y.mean(), 0.05))
         m = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
@@ -180,11 +186,16 @@ class AttentionModel:
             order = rng.permutation(docs)
             for at in range(0, docs, size):
                 pick = order[at : at + size]
-                rows = np.concatenate([np.arange(starts[d], starts[d + 1]) for d in pick])
-                of = np.repeat(np.arange(len(pick)), starts[pick + 1] - starts[pick])
+                held = starts[pick + 1] - starts[pick]
+                cuts = np.flatnonzero(np.diff((np.cumsum(held) - 1) // STEP)) + 1
+                grads = {k: decay * v for k, v in self.p.items()}
+                for some, lengths in zip(np.split(pick, cuts), np.split(held, cuts)):
+                    rows = np.concatenate([np.arange(starts[d], starts[d + 1]) for d in some])
+                    of = np.repeat(np.arange(len(some)), lengths)
+                    for k, g in self._gradients(x[rows], of, y[some], weight[some]).items():
+                        grads[k] = grads[k] + g * (len(some) / len(pick))
                 step += 1
-                for k, g in self._gradients(x[rows], of, y[pick], weight[pick]).items():
-                    g = g + decay * self.p[k]
+                for k, g in grads.items():
                     a, b = m[k]
                     a += 0.1 * (g - a)
                     b += 0.001 * (g * g - b)
@@ -225,22 +236,36 @@ def fit_model(docs: DataFrame, labels: DataFrame, max_labelled: int = 8_000) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            parts: list[list[np.ndarray]] = [[] for _ in texts]
-            for x, of in bags(texts):
+            at, held, size = 0, [[]], 0  # the passages of row ``at`` and those after it
+            for x, of in bags(batch.column("text").to_pylist()):
+                if size > FETCH and len(held) > 1:  # all rows but the last are whole
+                    yield _bagged(batch.slice(at, len(held) - 1), held[:-1])
+                    at, held, size = at + len(held) - 1, held[-1:], sum(map(len, held[-1]))
                 for i in np.unique(of):
-                    parts[i].append(x[of == i].astype(np.float32))
-            bag = []
-            for some in parts:
-                x = np.concatenate(some)
-                bag.append(x[np.unique(np.linspace(0, len(x) - 1, min(len(x), BAG)).astype(int))].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(bag, pa.binary())], names=["doc_id", "y", "bag"])
-
-    found = rows.mapInArrow(run, "doc_id long, y double, bag binary").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
-    if not len(found):
+                    held += [[] for _ in range(i - at - len(held) + 1)]
+                    held[i - at].append(x[of == i].astype(np.float32).tobytes())
+                    size += len(held[i - at][-1])
+            if batch.num_rows:
+                yield _bagged(batch.slice(at), held)
+            release()
+
+    found = stash(rows.mapInArrow(run, "doc_id long, y double, bag binary").dropDuplicates(["doc_id"]), "quality-bags")
+    size = found.agg(F.sum(F.octet_length("bag"))).first()[0]
+    if not size:
         return None
-    xs = [np.frombuffer(b, np.float32).reshape(-1, FEATURES) for b in found["bag"]]
-    return AttentionModel().fit(np.concatenate(xs), np.repeat(np.arange(len(xs)), [len(x) for x in xs]), found["y"].to_numpy())
+    with tempfile.TemporaryFile() as file:
+        y, n = [], []
+        for row in found.repartition(1 + size // FETCH, "doc_id").sortWithinPartitions("doc_id").toLocalIterator():
+            file.write(row.bag)
+            y.append(row.y)
+            n.append(len(row.bag) // (4 * FEATURES))
+        file.flush()
+        x = np.memmap(file, np.float32, "r", shape=(sum(n), FEATURES))
+        return AttentionModel().fit(x, np.repeat(np.arange(len(n)), n), np.array(y))
+
+
+def _bagged(rows: pa.RecordBatch, bag: list[list[bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("y"), pa.array([b"".join(b) for b in bag], pa.binary())], names=["doc_id", "y", "bag"])
 
 
 def score(text: Column, model: AttentionModel | None) -> Column:

@@ -316,6 +316,28 @@ def test_quality_learns_from_others_only(spark, docs, none):
     assert {r.score for r in quality.classify(docs, labels.limit(0)).collect()} == {0.5}
 
 
+@pytest.mark.parametrize("fetch, step", [(1 << 25, 1 << 14), (1000, 50)])
+def test_fitting_sees_all_passages(spark, monkeypatch, fetch, step):
+    seen, fit = [], quality.AttentionModel.fit
+
+    def watched(self, x, owner, y):
+        seen.append((np.array(x), owner, y))
+        return fit(self, x, owner, y)
+
+    monkeypatch.setattr(quality.AttentionModel, "fit", watched)
+    monkeypatch.setattr(quality, "FETCH", fetch)
+    monkeypatch.setattr(quality, "STEP", step)
+    texts = [words(n, n) for n in (5, 9000, 64, 65, 2500)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    quality.fit_model(table, spark.createDataFrame([(i, i % 2) for i in range(5)], "doc_id long, quality int"))
+    ((x, owner, y),) = seen
+    got = {tuple(map(bytes, x[owner == k])) + (y[k],) for k in range(5)}
+    want = set()
+    for i, text in enumerate(texts):
+        want.add(tuple(bytes(p) for part, _ in quality.bags([text]) for p in part.astype(np.float32)) + (i % 2,))
+    assert got == want and len(owner) == 1 + 141 + 1 + 2 + 40
+
+
 def test_parts_do_not_change_who_is_scored(monkeypatch):
     model, text = quality.AttentionModel(), words(3000, 5)
     whole = model.score([text, "a"])

@@ -2,27 +2,29 @@
 
 Which bytes are covered by a string of ``length`` bytes that also starts somewhere else, in any document?
 
-1. Sampled suffixes. In every window of ``length`` bytes the position with the least hash of its first ``GRAM`` bytes
-   (the leftmost of equal ones) is an anchor. Equal windows have equal anchors at the same place, so only suffixes that
-   start at anchors are indexed, about one in 130 bytes, and no repeat is missed.
-2. An anchor's context is what its windows can reach: up to ``length - GRAM`` bytes before and ``length`` after it, within
-   the document. Anchors are counted per gram and context hash, pre-aggregated in each task. Grams that occur once are
-   settled (nothing repeats), and so are contexts that occur twice or more (all of it repeats): a group of copies costs
-   one row per anchor, and bytes travel only for one occurrence of each distinct context of a gram that has several.
+1. Sampled suffixes. In every window of ``base`` bytes (the least of the lengths asked for) the position with the least
+   hash of its first ``GRAM`` bytes (the leftmost of equal ones) is an anchor. Equal windows have equal anchors at the same
+   place, so only suffixes that start at anchors are indexed, about one in 70 bytes, and no repeat is missed. A longer
+   window is met at the anchor of its first ``base`` bytes: one set of anchors serves all lengths.
+2. An anchor's context is what its windows can reach: up to ``base - GRAM`` bytes before and the greatest length after it,
+   within the document. Equal contexts of a document make one row (a run of a repeated line has few). Grams that occur
+   once are settled (nothing repeats), and so are grams of one context and contexts that occur twice or more (all of it
+   repeats); bytes travel only for one occurrence of each other context.
 3. The index. Contexts are dealt out by gram. Each task takes them in batches; a batch gets a suffix array (its suffixes
-   sorted), is merge-scanned against every level of the index for suffixes that share a gram, and becomes a level
-   itself; levels of equal size merge, so there are logarithmically many. In a run of a shared gram the windows that
-   occur in more than one context are found by sorting window hashes per offset: no pairs are listed.
+   sorted), is merge-scanned against every level of the index, and becomes a level itself; levels of equal size merge,
+   so there are logarithmically many. The common prefixes of neighbours in the merged order give the runs that share a
+   gram and how far each suffix agrees with others to the right; the same order of the reversed left sides gives how far
+   to the left. Where that does not settle a run at once, classes of both orders are compared for each offset that a
+   suffix can still match at: no pairs are listed.
 4. All matched windows of an anchor contain it, so they form one span. Spans go back to their documents and are merged.
 
 Null texts are empty; texts shorter than ``length`` have no windows; equal rows (same id and text) repeat each other like
-any other two; extra columns pass through; an empty table gives an empty result. Matching uses 64-bit hashes of grams,
-contexts and windows.
+any other two; extra columns pass through; an empty table gives an empty result. Grams and equal contexts are told apart
+by 64-bit hashes; suffixes are compared byte by byte.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +35,8 @@ from pyspark.sql import functions as F
 from keystrata.llm.common import bytes_of, fresh, release, stash, text_or_empty
 
 #: Bytes of an anchor's gram; bytes of text hashed at a time; rows of a batch of the index; contexts for each task.
-GRAM, BLOCK, BATCH, SHARD = 64, 1 << 20, 4096, 40_000
-#: Distinct contexts of one gram beyond which they are matched by shuffled window hashes rather than in one task.
+GRAM, BLOCK, BATCH, SHARD = 32, 1 << 20, 8192, 40_000
+#: Distinct contexts of one gram beyond which its windows are counted over all tasks rather than met in one.
 HOT = 50_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -96,35 +98,62 @@ def _blocks(bounds: np.ndarray, length: int) -> Iterator[tuple[int, int, int, in
         i = j
 
 
-def _find(length: int):
+def _runs(doc: np.ndarray, gram: np.ndarray, context: np.ndarray, at: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal contexts of a document as runs of overlapping spans: number of the first and the last anchor, and how many there are."""
+    order = np.lexsort((at, context, gram, doc))
+    d, g, c, p = doc[order], gram[order], context[order], at[order]
+    other = np.ones(len(order), bool)
+    other[1:] = (d[1:] != d[:-1]) | (g[1:] != g[:-1]) | (c[1:] != c[:-1])
+    times = np.bincount(np.cumsum(other) - 1)[np.cumsum(other) - 1] if len(order) else np.zeros(0, np.int64)
+    new = other.copy()
+    new[1:] |= p[1:] - p[:-1] > reach[order][1:]
+    begin = np.flatnonzero(new)
+    end = np.append(begin[1:], len(order)) - 1 if len(begin) else begin
+    return order[begin], order[end], times[begin]
+
+
+FOUND = "a long, b long, gram long, context long, lo long, hi long, before int, after int, times int"
+
+
+def _find(base: int, longest: int):
     import xxhash
 
+    names = [f.split()[0] for f in FOUND.split(", ")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest, reach = xxhash.xxh64_intdigest, length - GRAM
+        digest, reach = xxhash.xxh64_intdigest, base - GRAM
         for batch in batches:
             release()
             raw, bounds = bytes_of(batch.column("t"))
             data = np.frombuffer(raw, np.uint8)
             last = np.full(1, -1, np.int64)
-            for i, j, lo, hi in _blocks(bounds, length):
+            for i, j, lo, hi in _blocks(bounds, base):
                 cut = np.clip(bounds[i : j + 1], lo, hi) - lo
-                at, gram = anchors(data[lo:hi], cut, length)
+                at, gram = anchors(data[lo:hi], cut, base)
                 at = at + lo
                 if lo != bounds[i]:  # a later part of a long text may find the last part's anchors again
                     new = ~np.isin(at, last)
                     at, gram = at[new], gram[new]
                 last = at
                 doc = np.searchsorted(bounds, at, side="right") - 1
-                before, after = np.minimum(at - bounds[doc], reach), np.minimum(bounds[doc + 1] - at, length)
+                before, after = np.minimum(at - bounds[doc], reach), np.minimum(bounds[doc + 1] - at, longest)
                 context = np.fromiter((digest(raw[p - b : p + a], b) for p, b, a in zip(at.tolist(), before.tolist(), after.tolist())), np.uint64, len(at))
-                rows = pa.array(doc)
-                columns = [batch.column("a").take(rows), batch.column("b").take(rows), pa.array(gram.view(np.int64)), pa.array(context.view(np.int64)), pa.array(at - bounds[doc]), pa.array(before.astype(np.int32)), pa.array(after.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "gram", "context", "pos", "before", "after"])
+                begin, end, times = _runs(doc, gram, context, at, before + np.minimum(after, base))
+                rows = pa.array(doc[begin])
+                ends = [at[k] - bounds[doc[k]] for k in (begin, end)]
+                columns = [batch.column("a").take(rows), batch.column("b").take(rows), *(pa.array(x[begin].view(np.int64)) for x in (gram, context)), *map(pa.array, ends), *(pa.array(x.astype(np.int32)) for x in (before[begin], after[begin], times))]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
-def _cut(length: int, text_name: str, wanted_name: str):
+CUT = "gram long, context long, a long, b long, lo long, before int, settled boolean, bytes binary"
+
+
+def _cut(text_name: str, wanted_name: str):
+    names, kinds = zip(*(f.split() for f in CUT.split(", ")))
+    types = [{"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}[k] for k in kinds]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, bounds = bytes_of(batch.column(text_name))
@@ -132,87 +161,125 @@ def _cut(length: int, text_name: str, wanted_name: str):
                 start, step = int(bounds[i]), 2000
                 for k in range(0, len(wanted), step):
                     some = wanted[k : k + step]
-                    cuts = [bytes(raw[start + w["pos"] - w["before"] : start + w["pos"] + w["after"]]) for w in some]
-                    yield pa.RecordBatch.from_arrays([pa.array([w["gram"] for w in some], pa.int64()), pa.array([w["context"] for w in some], pa.int64()), pa.array([w["before"] for w in some], pa.int32()), pa.array(cuts, pa.binary())], names=["gram", "context", "before", "bytes"])
+                    cuts = [bytes(raw[start + w["lo"] - w["before"] : start + w["lo"] + w["after"]]) for w in some]
+                    yield pa.RecordBatch.from_arrays([pa.array([w[n] for w in some], t) for n, t in zip(names[:-1], types)] + [pa.array(cuts, pa.binary())], names=names)
 
     return run
 
 
+def _agree(rows: list[bytes]) -> np.ndarray:
+    """Bytes that each row has in common with the one before it (0 for the first)."""
+    size = np.fromiter(map(len, rows), np.int64, len(rows))
+    width = max(1, int(size.max(initial=0)))
+    laid = np.frombuffer(b"".join(r.ljust(width, b"\0") for r in rows), np.uint8).reshape(-1, width)
+    out = np.zeros(len(rows), np.int64)
+    for at in range(1, len(rows), 1 << 14):  # some thousand rows at a time
+        odd = laid[at : at + (1 << 14)] != laid[at - 1 : at - 1 + len(laid[at : at + (1 << 14)])]
+        out[at : at + len(odd)] = np.where(odd.any(axis=1), odd.argmax(axis=1), width)
+    out[1:] = np.minimum(out[1:], np.minimum(size[1:], size[:-1]))
+    return out
+
+
 class SuffixFamily:
     """Levels of sorted suffixes; a batch is scanned against all of them, then becomes one, and equal levels merge.
 
-    ``low`` and ``high`` hold, for each context added, the least and greatest offset of a window that another has too.
+    For each of ``lengths`` and each suffix added, ``left`` and ``right`` tell how far around its anchor windows of that
+    length reach that another suffix has too (``left`` is -1 if there are none).
     """
 
-    def __init__(self, length: int) -> None:
-        self.length, self.width = length, length - GRAM + 1
-        self.grams, self.before, self.texts = np.zeros(0, np.int64), np.zeros(0, np.int32), []
-        self.low, self.high = np.zeros(0, np.int32), np.zeros(0, np.int32)
-        self.levels: list[np.ndarray] = []  # context numbers in suffix order
+    def __init__(self, *lengths: int) -> None:
+        self.lengths = lengths
+        self.before: list[bytes] = []  # left sides, reversed
+        self.after: list[bytes] = []
+        self.heads = np.zeros(0, f"S{GRAM}")
+        self.left, self.right = np.zeros((len(lengths), 0), np.int64), np.zeros((len(lengths), 0), np.int64)
+        self.levels: list[np.ndarray] = []  # numbers of suffixes in order
 
     def _sorted(self, numbers: np.ndarray) -> np.ndarray:
-        texts, before = self.texts, self.before
-        return np.array(sorted(numbers.tolist(), key=lambda i: texts[i][before[i] :]), np.int64)
-
-    def add(self, grams: np.ndarray, before: np.ndarray, texts: list[bytes]) -> None:
-        first = len(self.texts)
-        self.texts += texts
-        self.grams, self.before = np.concatenate([self.grams, grams]), np.concatenate([self.before, before])
-        self.low = np.concatenate([self.low, np.full(len(texts), self.width, np.int32)])
-        self.high = np.concatenate([self.high, np.full(len(texts), -1, np.int32)])
+        return np.array(sorted(numbers.tolist(), key=self.after.__getitem__), np.int64)
+
+    def add(self, before: np.ndarray, texts: list[bytes]) -> None:
+        first = len(self.after)
+        self.before += [t[:b][::-1] for t, b in zip(texts, before.tolist())]
+        self.after += [t[b:] for t, b in zip(texts, before.tolist())]
+        self.heads = np.concatenate([self.heads, np.array([t[:GRAM] for t in self.after[first:]], f"S{GRAM}")])
+        more = np.full((len(self.lengths), len(texts)), -1, np.int64)
+        self.left, self.right = np.concatenate([self.left, more], axis=1), np.concatenate([self.right, more], axis=1)
         batch = self._sorted(np.arange(first, first + len(texts)))
-        self._scan(batch, batch[:0])
+        self._match(batch)
         for level in self.levels:
-            self._scan(batch, level)
+            self._match(self._merged(batch, level))
         self.levels.append(batch)
         while len(self.levels) > 1 and len(self.levels[-1]) >= len(self.levels[-2]):
             self.levels[-2:] = [self._sorted(np.concatenate(self.levels[-2:]))]  # two sorted runs: a linear merge
 
-    def _scan(self, batch: np.ndarray, level: np.ndarray) -> None:
-        """Match the suffixes of ``batch`` among themselves (no level), or with those of a level that share their grams."""
-        if len(level):
-            batch, level = batch[np.isin(self.grams[batch], self.grams[level])], level[np.isin(self.grams[level], self.grams[batch])]
-            rows = np.concatenate([batch, level])
-        else:
-            rows = batch
-        if not len(rows):
+    def _merged(self, batch: np.ndarray, level: np.ndarray) -> np.ndarray:
+        """Suffixes of both that have a gram of the other, in order."""
+        new, old = self.heads[batch], self.heads[level]
+        lo, hi = np.searchsorted(old, new, "left"), np.searchsorted(old, new, "right")
+        steps = np.zeros(len(level) + 1, np.int64)
+        np.add.at(steps, lo, 1)
+        np.add.at(steps, hi, -1)
+        return self._sorted(np.concatenate([level[np.cumsum(steps)[:-1] > 0], batch[hi > lo]]))
+
+    def _match(self, rows: np.ndarray) -> None:
+        """Match suffixes, given in order, with all others among them."""
+        lcp = _agree([self.after[i] for i in rows])
+        run = np.cumsum(lcp < GRAM) - 1
+        several = np.bincount(run)[run] > 1 if len(run) else np.zeros(0, bool)
+        rows, lcp, run = rows[several], lcp[several], run[several]
+        n = len(rows)
+        if not n:
             return
-        _, runs, sizes = np.unique(self.grams[rows], return_inverse=True, return_counts=True)
-        rows, runs = rows[sizes[runs] > 1], runs[sizes[runs] > 1]
-        order = np.argsort(runs, kind="stable")
-        rows, runs = rows[order], runs[order]
-        ends = np.flatnonzero(np.diff(runs)) + 1
-        at = 0
-        while at < len(rows):  # whole runs, some thousand contexts at a time
-            k = np.searchsorted(ends, at + BATCH)
-            to = int(ends[k]) if k < len(ends) else len(rows)
-            self._match(rows[at:to], runs[at:to])
-            at = to
-
-    def _match(self, rows: np.ndarray, runs: np.ndarray) -> None:
-        low, high = self.low[rows], self.high[rows]
-        salt = _mix(runs.astype(np.uint64) + np.uint64(1))
-        for offset, there, keys in windows([self.texts[i] for i in rows], self.before[rows], self.length):
-            key = keys ^ salt[there]
-            order = np.argsort(key)
-            same = np.diff(key[order].view(np.int64)) == 0
-            hit = np.zeros(len(there), bool)
-            hit[order[1:][same]] = hit[order[:-1][same]] = True
-            hit = there[hit]
-            low[hit], high[hit] = np.minimum(low[hit], offset), np.maximum(high[hit], offset)
-        self.low[rows], self.high[rows] = low, high
-
-
-def windows(texts: list[bytes], before: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        starts = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
+        run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
+        # The same for the left sides, in their own order within each run.
+        sides = [self.before[i] for i in rows]
+        order = np.array(sorted(range(n), key=sides.__getitem__), np.int64)
+        order = order[np.argsort(run[order], kind="stable")]
+        llcp = _agree([sides[i] for i in order])
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        lcp[starts], llcp[starts] = -1, -1
+        far = np.maximum(lcp, np.append(lcp[1:], -1))  # agreement with the closest other one
+        lfar = np.maximum(llcp, np.append(llcp[1:], -1))[place]
+        inner = np.ones(n, bool)
+        inner[starts] = False
+        big = np.int64(1 << 40)
+        floor = np.minimum.reduceat(np.where(inner, lcp, big), starts) + np.minimum.reduceat(np.where(inner, llcp, big), starts)
+        for k, length in enumerate(self.lengths):
+            left, right = self.left[k], self.right[k]
+            plain = floor[run] >= length  # all pairs of the run match
+            one = rows[plain]
+            left[one] = np.maximum(left[one], lfar[plain])
+            right[one] = np.maximum(right[one], np.minimum(far[plain], length))
+            open_ = np.flatnonzero(~plain & (far + lfar >= length))
+            if not len(open_):
+                continue
+            least, most = np.maximum(0, length - far[open_]), lfar[open_]
+            for at in range(int(least.min()), int(most.max()) + 1):
+                some = open_[(least <= at) & (at <= most)]
+                if len(some) < 2:
+                    continue
+                key = np.cumsum(lcp < length - at)[some] * (n + 1) + np.cumsum(llcp < at)[place[some]]
+                by = np.argsort(key, kind="stable")
+                same = key[by][1:] == key[by][:-1]
+                hit = np.zeros(len(some), bool)
+                hit[by[1:][same]] = hit[by[:-1][same]] = True
+                hit = rows[some[hit]]
+                left[hit], right[hit] = np.maximum(left[hit], at), np.maximum(right[hit], length - at)
+
+
+def windows(texts: list[bytes], before: np.ndarray, length: int, reach: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each offset of a window before the anchor: the contexts that have it, and its hash in each."""
-    n, reach = len(texts), length - GRAM
+    n = len(texts)
     lead = reach - before
-    size = np.array([len(t) for t in texts], np.int32)
-    laid = b"".join(b"\0" * int(p) + t + b"\0" * int(reach + length - p - s) for t, p, s in zip(texts, lead, size))
-    columns = np.frombuffer(laid, np.uint8).reshape(n, reach + length).T.astype(np.uint64)
-    columns = _mix(columns + np.uint64(1))
-    total = np.zeros((reach + length + 1, n), np.uint64)
-    for k in range(reach + length):
+    size = np.fromiter(map(len, texts), np.int64, n)
+    width = reach + length
+    laid = b"".join((b"\0" * int(p) + t)[:width].ljust(width, b"\0") for t, p in zip(texts, lead))
+    columns = _mix(np.frombuffer(laid, np.uint8).reshape(n, width).T.astype(np.uint64) + np.uint64(1))
+    total = np.zeros((width + 1, n), np.uint64)
+    for k in range(width):
         np.multiply(total[k], BASE, out=total[k + 1])
         total[k + 1] += columns[k]
     power = np.uint64(pow(int(BASE), length, 1 << 64))
@@ -222,39 +289,55 @@ def windows(texts: list[bytes], before: np.ndarray, length: int) -> Iterator[tup
             yield reach - k, there, _mix(total[k + length][there] - total[k][there] * power)
 
 
-def _hashed(length: int):
+def _hashed(lengths: tuple[int, ...], reach: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                part = batch.slice(at, BATCH)
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
                 gram, context = part.column("gram").to_numpy(), part.column("context").to_numpy()
-                for offset, there, keys in windows(part.column("bytes").to_pylist(), part.column("before").to_numpy(), length):
-                    yield pa.RecordBatch.from_arrays([pa.array(gram[there]), pa.array(context[there]), pa.array(np.full(len(there), offset, np.int32)), pa.array(keys.view(np.int64))], names=["gram", "context", "offset", "hash"])
+                for k, length in enumerate(lengths):
+                    for offset, there, keys in windows(part.column("bytes").to_pylist(), part.column("before").to_numpy(), length, reach):
+                        which = [pa.array(np.full(len(there), x, np.int32)) for x in (k, offset)]
+                        yield pa.RecordBatch.from_arrays([pa.array(gram[there]), pa.array(context[there]), *which, pa.array(keys.view(np.int64))], names=["gram", "context", "k", "offset", "hash"])
 
     return run
 
 
-def _index(length: int):
+def _spans(lengths: tuple[int, ...]) -> str:
+    return "a long, b long, " + ", ".join(f"s{k} long, e{k} long" for k in range(len(lengths)))
+
+
+def _index(lengths: tuple[int, ...]):
+    names = [f.split()[0] for f in _spans(lengths).split(", ")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family, contexts, waiting = SuffixFamily(length), [], []
+        family, kept, waiting, held = SuffixFamily(*lengths), [], [], 0
 
         def flush() -> None:
-            if waiting:
-                rows = pa.Table.from_batches(waiting)
-                contexts.append(rows.column("context").to_numpy())
-                family.add(rows.column("gram").to_numpy(), rows.column("before").to_numpy(), rows.column("bytes").to_pylist())
-                waiting.clear()
+            rows = pa.Table.from_batches(waiting)
+            waiting.clear()
+            kept.append(rows.select(["a", "b", "lo", "settled"]))
+            family.add(rows.column("before").to_numpy(), rows.column("bytes").to_pylist())
 
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
                 waiting.append(batch.slice(at, BATCH))
-                if sum(b.num_rows for b in waiting) >= BATCH:
+                held += waiting[-1].num_rows
+                if held >= BATCH:
                     flush()
-        flush()
+                    held = 0
+        if waiting:
+            flush()
+        if kept:
+            rows = pa.concat_tables(kept)
+            hit = np.flatnonzero((family.left >= 0).any(axis=0) & ~rows.column("settled").to_numpy())
+            at = rows.column("lo").to_numpy()[hit]
+            ends = []
+            for left, right in zip(family.left, family.right):
+                none = left[hit] < 0
+                ends += [pa.array(at - left[hit], mask=none), pa.array(at + right[hit], mask=none)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(rows.column(c).to_numpy()[hit]) for c in "ab"), *ends], names=names)
         release()
-        if contexts:
-            hit = family.high >= 0
-            yield pa.RecordBatch.from_arrays([pa.array(family.grams[hit]), pa.array(np.concatenate(contexts)[hit]), pa.array(family.low[hit]), pa.array(family.high[hit])], names=["gram", "context", "low", "high"])
 
     return run
 
@@ -269,52 +352,59 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def _apply(text_name: str, span_name: str, as_text: bool):
+def _apply(text_name: str, span_name: str, lengths: tuple[int, ...], as_text: bool):
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             release()
             raw, bounds = bytes_of(batch.column(text_name))
-            all_spans, kept = [], []
+            all_spans, kept = [[] for _ in lengths], []
             for i, spans in enumerate(batch.column(span_name).to_pylist()):
-                merged = _merge([(s["start"], s["stop"]) for s in spans or []])
+                for k, out in enumerate(all_spans):
+                    out.append(_merge([(s[f"s{k}"], s[f"e{k}"]) for s in spans or [] if s[f"s{k}"] is not None]))
                 text = raw[bounds[i] : bounds[i + 1]]
                 at, parts = 0, []
-                for s, e in merged:
+                for s, e in all_spans[0][-1]:
                     parts.append(text[at:s])
                     at = e
                 kept.append(b"".join([*parts, text[at:]]))
-                all_spans.append([{"start": s, "stop": e} for s, e in merged])
             names = [n for n in batch.schema.names if n not in (text_name, span_name)]
             columns = [batch.column(n) for n in names]
-            lengths, runs = pa.array(np.diff(bounds)), pa.array(all_spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))
             rest = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
-            yield pa.RecordBatch.from_arrays([*columns, lengths, runs, rest], names=[*names, "n_bytes", "spans", "kept"])
+            shown = [pa.array([[{"start": s, "stop": e} for s, e in m] for m in x], kind) for x in all_spans]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(bounds)), shown[0], rest, *shown[1:]], names=[*names, "n_bytes", "spans", "kept", "finer_spans"][: len(names) + 2 + len(lengths)])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, *, length: int = 400, as_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, length: int = 400, finer: int | None = None, as_text: bool = False) -> DataFrame:
     """``docs`` without ``text``, with ``n_bytes``, ``spans`` (removed runs, byte offsets) and ``kept``, reserved names.
 
     ``kept`` is bytes, or with ``as_text`` a string, from which the rest of a character that is cut in two is left out.
+    With ``finer``, a lesser length, ``finer_spans`` (reserved too) tells which runs repeat at that length; they stay.
     """
+    lengths = (length,) if finer is None else (length, finer)
+    base, longest = min(lengths), max(lengths)
+    if base < 2 * GRAM:
+        raise ValueError(f"lengths of {2 * GRAM} bytes or more")
     s_text, s_a, s_b, s_spans = fresh(docs, "text", "a", "b", "spans")
     rows = docs.withColumn(s_text, text_or_empty()).drop("text")
     rows = rows.withColumn(s_a, F.xxhash64("doc_id", s_text)).withColumn(s_b, F.xxhash64(s_text, "doc_id", F.lit(1)))
 
     plain = rows.select(F.col(s_a).alias("a"), F.col(s_b).alias("b"), F.col(s_text).alias("t"))
-    found = plain.mapInArrow(_find(length), "a long, b long, gram long, context long, pos long, before int, after int")
-    found = stash(found, "repeats-anchors")
-    kinds = found.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("a", "b", "pos", "before", "after")).alias("one"))
-    kinds = stash(kinds, "repeats-contexts")
-    grams = kinds.groupBy("gram").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds")).where("`all` > 1")
-    kinds = stash(kinds.join(grams, "gram"), "repeats-repeated")
+    found = stash(plain.mapInArrow(_find(base, longest), FOUND), "repeats-anchors")
+    grams = found.groupBy("gram").agg(F.sum("times").alias("all"), (F.min("context") != F.max("context")).alias("mixed"))
+    grams = stash(grams.where("`all` > 1").select("gram", "mixed"), "repeats-grams")
+    repeated = stash(found.join(grams, "gram"), "repeats-repeated")
 
     # Contexts that differ from others of their gram: one occurrence of each is cut from its text and indexed.
-    several = kinds.where("kinds > 1")
+    mixed = repeated.where("mixed")
+    kinds = mixed.groupBy("gram", "context").agg(F.sum("times").alias("n"), F.min(F.struct("a", "b", "lo", "before", "after")).alias("one"))
+    kinds = stash(kinds, "repeats-contexts")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shards = max(parts, 1 + several.count() // SHARD)
-    wanted = several.select(F.col("one.a").alias(s_a), F.col("one.b").alias(s_b), F.struct("gram", "context", "one.pos", "one.before", "one.after").alias("w"))
+    shards = max(parts, 1 + kinds.count() // SHARD)
+    wanted = kinds.select(F.col("one.a").alias(s_a), F.col("one.b").alias(s_b), F.struct("gram", "context", "one.a", "one.b", "one.lo", "one.before", "one.after", (F.col("n") > 1).alias("settled")).alias("w"))
     wanted = wanted.groupBy(s_a, s_b).agg(F.collect_list("w").alias("wanted"))
     # Both joins read the same exchange of the texts: same key, same columns, so texts cross the network once.
     dealt = rows.repartition(parts, s_a, s_b)
@@ -322,34 +412,47 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, as_text: bool = False)
     texts = dealt.join(wanted.hint("shuffle_hash"), [s_a, s_b])
     (s_wanted,) = fresh(texts, "wanted")
     texts = texts.select(F.col(s_text).alias(s_text), F.col("wanted").alias(s_wanted), *keep)
-    cut = texts.mapInArrow(_cut(length, s_text, s_wanted), "gram long, context long, before int, bytes binary")
-    hot = stash(grams.where(F.col("kinds") > HOT).select("gram"), "repeats-hot")
+    cut = texts.mapInArrow(_cut(s_text, s_wanted), CUT)
+    hot = stash(kinds.groupBy("gram").count().where(F.col("count") > HOT).select("gram"), "repeats-hot")
     if hot.isEmpty():
-        met = cut.repartition(shards, "gram").mapInArrow(_index(length), "gram long, context long, low int, high int")
-    else:  # a passage that very many documents share: its contexts are spread by window, each gram's others stay together
+        met = cut.repartition(shards, "gram").mapInArrow(_index(lengths), _spans(lengths))
+    else:  # a passage that very many documents share: its windows are counted, pre-aggregated in each task
         cut = stash(cut, "repeats-cut")
-        met = cut.join(hot, "gram", "left_anti").repartition(shards, "gram").mapInArrow(_index(length), "gram long, context long, low int, high int")
-        hashed = stash(cut.join(hot, "gram", "left_semi").distinct().mapInArrow(_hashed(length), "gram long, context long, offset int, hash long"), "repeats-windows")
-        twice = hashed.groupBy("gram", "offset", "hash").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
-        shared = hashed.join(twice, ["gram", "offset", "hash"]).groupBy("gram", "context").agg(F.min("offset").alias("low"), F.max("offset").alias("high"))
-        met = met.unionByName(shared)
-    met = met.groupBy("gram", "context").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        met = cut.join(hot, "gram", "left_anti").repartition(shards, "gram").mapInArrow(_index(lengths), _spans(lengths))
+        hashed = cut.join(hot, "gram", "left_semi").mapInArrow(_hashed(lengths, base - GRAM), "gram long, context long, k int, offset int, hash long")
+        hashed = stash(hashed, "repeats-windows")
+        window = ["gram", "k", "offset", "hash"]
+        twice = hashed.groupBy(*window).agg(F.count(F.lit(1)).alias("times")).where("times > 1").select(*window)
+        ends = [f(F.when(F.col("k") == k, F.col("offset"))).alias(f"{x}{k}") for k in range(len(lengths)) for x, f in (("s", F.max), ("e", F.min))]
+        shared = hashed.join(stash(twice, "repeats-twice"), window).groupBy("gram", "context").agg(*ends)
+        shared = shared.join(cut.where("not settled").select("gram", "context", "a", "b", "lo"), ["gram", "context"])
+        spans = [e for k, n in enumerate(lengths) for e in ((F.col("lo") - F.col(f"s{k}")).alias(f"s{k}"), (F.col("lo") + n - F.col(f"e{k}")).alias(f"e{k}"))]
+        met = met.unionByName(shared.select("a", "b", *spans))
 
     # Copies of a context match in all their windows, others in those that the index found.
-    own = kinds.where("n > 1").select("gram", "context", F.greatest(F.lit(0), F.lit(length) - F.col("one.after")).alias("low"), F.col("one.before").alias("high"))
-    single = kinds.where("n = 1").select("gram", "context")
-    matched = own.unionByName(single.join(met, ["gram", "context"]))
-    spans = found.join(matched, ["gram", "context"]).select(F.col("a").alias(s_a), F.col("b").alias(s_b), F.struct((F.col("pos") - F.col("high")).alias("start"), (F.col("pos") + length - F.col("low")).alias("stop")).alias("span"))
-    spans = spans.groupBy(s_a, s_b).agg(F.collect_set("span").alias(s_spans))
+    whole = []
+    for k, n in enumerate(lengths):
+        has = F.col("before") + F.col("after") >= n
+        whole += [F.when(has, F.col("lo") - F.col("before")).alias(f"s{k}"), F.when(has, F.col("hi") + F.least("after", F.lit(n))).alias(f"e{k}")]
+    copied = mixed.join(kinds.where("n > 1").select("gram", "context"), ["gram", "context"])
+    spans = repeated.where("not mixed").select("a", "b", *whole).unionByName(copied.select("a", "b", *whole)).unionByName(met)
+    each = F.struct(*[f"{x}{k}" for k in range(len(lengths)) for x in "se"])
+    spans = spans.groupBy(F.col("a").alias(s_a), F.col("b").alias(s_b)).agg(F.collect_list(each).alias(s_spans))
 
     done = dealt.join(spans.hint("shuffle_hash"), [s_a, s_b], "left")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in done.select(*keep).schema)
-    kind = f"{schema}, n_bytes long, spans array<struct<start:long,stop:long>>, kept {'string' if as_text else 'binary'}"
-    return done.select(*keep, s_text, s_spans).mapInArrow(_apply(s_text, s_spans, as_text), kind)
+    span = "array<struct<start:long,stop:long>>"
+    kind = f"{schema}, n_bytes long, spans {span}, kept {'string' if as_text else 'binary'}" + (f", finer_spans {span}" if finer else "")
+    return done.select(*keep, s_text, s_spans).mapInArrow(_apply(s_text, s_spans, lengths, as_text), kind)
+
+
+#: Bytes of the shorter repeats that the query reports beside its contract: below those of 50 words.
+FINER = 200
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns, and ``n_repeated``: bytes within strings of ``FINER`` bytes that also start elsewhere."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = remove_repeats(docs)
-    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda x, s: x + s["stop"] - s["start"])
-    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    out = remove_repeats(docs, finer=FINER)
+    size = lambda spans: F.aggregate(spans, F.lit(0).cast("long"), lambda x, s: x + s["stop"] - s["start"])
+    return out.select("doc_id", "n_bytes", size("spans").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), size("finer_spans").alias("n_repeated"))

@@ -387,23 +387,57 @@ def simple_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("batch, hot", [(7, 50_000), (4096, 50_000), (16, 2)])
-def test_repeats(spark, docs, none, monkeypatch, batch, hot):
-    monkeypatch.setattr(repeats, "BATCH", batch)
-    monkeypatch.setattr(repeats, "HOT", hot)
-    monkeypatch.setattr(repeats, "BLOCK", 5000)
-    rng = random.Random(batch)
+def passages_and_edits(seed):
+    rng = random.Random(seed)
     passages = [words(n, n) for n in (20, 40, 70, 90, 140)]
     texts = [" ".join(rng.choice([words(rng.randint(1, 60), rng.random()), rng.choice(passages), rng.choice(passages)[rng.randint(0, 60) :]]) for _ in range(rng.randint(1, 5))) for _ in range(40)]
     base = words(400, 12)
-    texts += [base[:k] + "Z" + base[k + 1 :] for k in rng.sample(range(len(base)), 25)] + ["x" * 900, "ab" * 400, words(4000, 6) + passages[4]]
-    rows = [(i, t, "s", None, i) for i, t in enumerate(texts)]
+    texts += [base[:k] + "Z" + base[k + 1 :] for k in rng.sample(range(len(base)), 25)]
+    return texts + ["x" * 900, "ab" * 400, "A line. " * 300 + words(90, 5) + "A line. " * 60, "A line. " * 51, words(4000, 6) + passages[4]]
+
+
+@pytest.mark.parametrize("batch, hot, length, finer", [(7, 50_000, 400, 200), (8192, 50_000, 400, None), (16, 2, 400, 200), (8192, 50_000, 90, None), (8192, 50_000, 200, 300)])
+def test_repeats(spark, docs, none, monkeypatch, batch, hot, length, finer):
+    monkeypatch.setattr(repeats, "BATCH", batch)
+    monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "BLOCK", 5000)
+    rows = [(i, t, "s", None, i) for i, t in enumerate(passages_and_edits(batch))]
     table = docs.union(spark.createDataFrame(rows, SCHEMA))
-    got = repeats.remove_repeats(table, length=400).collect()
+    got = repeats.remove_repeats(table, length=length, finer=finer).collect()
     order = table.collect()
-    want = Counter((r.doc_id, *w) for r, w in zip(order, simple_repeats([r.text for r in order], 400)))
+    texts = [r.text for r in order]
+    want = Counter((r.doc_id, *w) for r, w in zip(order, simple_repeats(texts, length)))
     assert Counter((r.doc_id, r.n_bytes, sum(s.stop - s.start for s in r.spans), len(r.spans), bytes(r.kept)) for r in got) == want
-    assert repeats.remove_repeats(none).count() == 0
+    if finer:
+        want = Counter((r.doc_id, *w[:3]) for r, w in zip(order, simple_repeats(texts, finer)))
+        assert Counter((r.doc_id, r.n_bytes, sum(s.stop - s.start for s in r.finer_spans), len(r.finer_spans)) for r in got) == want
+    assert repeats.remove_repeats(none, finer=finer).count() == 0
+
+
+def contexts_of(texts, length):
+    raw = [t.encode() for t in texts]
+    data, starts = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    at, _ = repeats.anchors(data, starts, length)
+    doc = np.searchsorted(starts, at, side="right") - 1
+    before = np.minimum(at - starts[doc], length - repeats.GRAM)
+    return before, [raw[d][p - b - starts[d] : p + length - starts[d]] for d, p, b in zip(doc, at, before)]
+
+
+def test_family_needs_the_order_and_not_the_batches(monkeypatch):
+    before, texts = contexts_of(passages_and_edits(3), 200)
+    one = repeats.SuffixFamily(200)
+    one.add(before, texts)
+    assert len(one.levels) == 1 and (one.left >= 0).sum() > 100
+    many, rng = repeats.SuffixFamily(200), np.random.default_rng(1)
+    for some in np.split(rng.permutation(len(texts)), np.sort(rng.integers(0, len(texts), 30))):
+        at = np.concatenate([at, some]) if len(many.after) else some
+        many.add(before[some], [texts[i] for i in some])
+    assert len(many.levels) < 12 and all(many.after[i] <= many.after[j] for v in many.levels for i, j in zip(v, v[1:]))
+    assert (many.left[:, np.argsort(at)] == one.left).all() and (many.right[:, np.argsort(at)] == one.right).all()
+    monkeypatch.setattr(repeats.SuffixFamily, "_sorted", lambda self, numbers: numbers)
+    odd = repeats.SuffixFamily(200)
+    odd.add(before, texts)
+    assert (odd.left != one.left).any()
 
 
 def test_kept_text_has_no_broken_characters(spark):

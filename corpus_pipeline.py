@@ -1,22 +1,34 @@
 """The training-data pipeline: quality, near duplicates, repeated passages, mixing, packing.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a table that is written as Parquet and read again as the next
-stage's ``docs``. All but the last return the columns of ``docs`` (extra ones included); empty tables pass through.
+stage's ``docs``. All but the last return the columns of ``docs`` (extra ones included, whatever their names); empty tables pass
+through.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keystrata.llm import mixing, packing, quality, repeats, simhash
 from keystrata.llm.common import fresh, stash
 
 
+#: Bytes of a repeated string that the suffix-array stage removes: below those of 50 words in any of the languages.
+REPEATED = 200
+
+
+def aside(docs: DataFrame, *used: str) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with columns other than ``used`` under names that no operator gives, and what brings their names back."""
+    names = {c: c if c in used else n for c, n in zip(docs.columns, fresh(docs, *(f"kept_{k}" for k in range(len(docs.columns)))))}
+    return docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())), [F.col(n).alias(c) for c, n in names.items()]
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects (score below 0.7) go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    return quality.classify(docs, labels).where("predicted = 1").select(*docs.columns)
+    rows, back = aside(docs, "doc_id", "text")
+    return quality.classify(rows, labels).where("predicted = 1").select(*back)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,19 +37,21 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Text within repeated strings of 400 bytes goes; documents stay, if need be empty, with ``n_chars`` brought up to date."""
-    out = repeats.remove_repeats(docs, as_text=True).withColumnRenamed("kept", "text")
+    """Text within repeated strings of ``REPEATED`` bytes goes; documents stay, if need be empty, with ``n_chars`` brought up to date."""
+    rows, back = aside(docs, "doc_id", "text")
+    out = repeats.remove_repeats(rows, length=REPEATED, as_text=True).withColumnRenamed("kept", "text").select(*back)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents appear as often as the mix takes them, up to twice."""
-    mixed = mixing.mix(docs)
+    rows, back = aside(docs, "doc_id", "text", "source")
+    mixed = mixing.mix(rows)
     (s_copy,) = fresh(mixed, "copy")
     times = F.when(F.col("size") > 0, F.col("epochs") + F.col("picked").cast("long")).otherwise(0).cast("int")
-    return mixed.withColumn(s_copy, F.explode(F.array_repeat(F.lit(0), times))).select(*docs.columns)
+    return mixed.withColumn(s_copy, F.explode(F.array_repeat(F.lit(0), times))).select(*back)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": mixing.OP2_SQL, "op8_url_filters": urls.OP8_SQL, "op9_chat_formatting": chat.OP9_SQL}
+    return {"op2_mix_sources": mixing.OP2_SQL, "op8_url_filters": urls.OP8_SQL, "op9_chat_formatting": chat.OP9_SQL, "op10_suffix_array_dedup": repeats.OP10_SQL}

@@ -456,3 +456,33 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(docs, finer=FINER)
     size = lambda spans: F.aggregate(spans, F.lit(0).cast("long"), lambda x, s: x + s["stop"] - s["start"])
     return out.select("doc_id", "n_bytes", size("spans").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), size("finer_spans").alias("n_repeated"))
+
+
+def _spans_sql(length: int, name: str) -> str:
+    """Maximal runs of bytes covered by strings of ``length`` bytes that start twice or more, as CTEs over ``d (rid, h)``."""
+    return f"""
+{name}_w AS (
+  SELECT rid, p, count(*) OVER (PARTITION BY w) AS n FROM (
+    SELECT rid, p, md5(substr(h, 2 * p + 1, {2 * length})) AS w FROM (SELECT rid, h, unnest(range(0, greatest(0, length(h) // 2 - {length - 1}))) AS p FROM d))
+), {name}_s AS (
+  SELECT rid, p, CASE WHEN p <= lag(p) OVER (PARTITION BY rid ORDER BY p) + {length} THEN 0 ELSE 1 END AS new FROM {name}_w WHERE n > 1
+), {name} AS (
+  SELECT rid, min(p) AS lo, max(p) + {length} AS hi FROM (SELECT *, sum(new) OVER (PARTITION BY rid ORDER BY p) AS run FROM {name}_s) GROUP BY rid, run
+)"""
+
+
+OP10_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), {_spans_sql(400, "longer")}, {_spans_sql(FINER, "finer")},
+gaps AS (
+  SELECT rid, h, start, least(until, length(h) // 2) AS until FROM (
+    SELECT d.rid, d.h, coalesce(lag(hi) OVER (PARTITION BY d.rid ORDER BY lo), 0) AS start, lo AS until FROM d JOIN longer ON d.rid = longer.rid
+    UNION ALL SELECT d.rid, d.h, coalesce((SELECT max(hi) FROM longer WHERE longer.rid = d.rid), 0), length(h) // 2 FROM d)
+), kept AS (
+  SELECT rid, sha256(from_hex(coalesce(string_agg(substr(h, 2 * start + 1, 2 * (until - start)), '' ORDER BY start), ''))) AS kept_sha256 FROM gaps GROUP BY rid
+)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce((SELECT sum(hi - lo) FROM longer WHERE longer.rid = d.rid), 0) AS BIGINT) AS n_removed,
+  (SELECT count(*) FROM longer WHERE longer.rid = d.rid) AS n_spans, kept_sha256, CAST(coalesce((SELECT sum(hi - lo) FROM finer WHERE finer.rid = d.rid), 0) AS BIGINT) AS n_repeated
+FROM d JOIN kept USING (rid)
+"""

@@ -7,7 +7,8 @@ Recordings are aligned by the histogram of offsets at which pairs of integers, `
 with most votes is checked by the share of differing bits over the whole overlap.
 
 Equal fingerprints are one entry of the index, so a group of copies is met once; pairs of integers (64 bits) are specific
-to a recording, so the index join stays in proportion. Matches need ``MIN_VOTES`` equal pairs at one offset.
+to a recording, so the index join stays in proportion. Silence gives no pairs, and a pair that a held note repeats from
+one position to the next counts once, where it begins. Matches need ``MIN_VOTES`` equal pairs at one offset.
 
 Null, empty, broken or too short media have an empty fingerprint, which matches nothing; rows repeat freely; an empty
 table gives an empty result.
@@ -115,6 +116,10 @@ def fingerprints(media: Column) -> Column:
     return run(media)
 
 
+#: What the filters give over silence: all areas are equal.
+SILENCE = 0x55555555
+
+
 def bit_error(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[float, int]:
     """Share of differing bits where ``a`` lies over ``b`` from ``b[offset]`` on, and the overlap."""
     lo, hi = max(0, -offset), min(len(a), len(b) - offset)
@@ -124,10 +129,12 @@ def bit_error(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[float, int]:
 
 
 def _keys(prints: DataFrame, name: str) -> DataFrame:
-    at = F.explode(F.sequence(F.lit(1), F.size("print") - F.lit(STRIDE))).alias(f"{name}_at")
+    pair = lambda i: F.struct(F.element_at("print", i).alias("x"), F.element_at("print", i + STRIDE).alias("y"))
+    sounds = lambda p: (p["x"] != SILENCE) | (p["y"] != SILENCE)
+    begins = lambda i: sounds(pair(i)) & ((i == 1) | (pair(i) != pair(F.greatest(i - 1, F.lit(1)))))
+    at = F.explode(F.filter(F.sequence(F.lit(1), F.size("print") - F.lit(STRIDE)), begins)).alias(f"{name}_at")
     long = prints.where(F.size("print") > STRIDE).select(F.col("id").alias(name), "print", at)
-    key = F.xxhash64(F.element_at("print", F.col(f"{name}_at")), F.element_at("print", F.col(f"{name}_at") + STRIDE))
-    return long.select(name, f"{name}_at", key.alias("key"))
+    return long.select(name, f"{name}_at", F.xxhash64(pair(F.col(f"{name}_at"))).alias("key"))
 
 
 def align(queries: DataFrame, index: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ end tags that close up to their partner or are ignored. What a browser shows is
 styles, templates, comments, and elements that are hidden by attribute or inline style. Blocks stand on lines of their
 own, with blank lines where margins would be; white space collapses outside ``pre``; list items get bullets or numbers,
 indented by depth; table cells are padded to the width of their column, with spans over columns and rows counted.
-Drawings show the text elements in them, a line each, formulas their characters in order, button inputs their values.
+Rules of style sheets are not applied. Drawings show the text elements in them, a line each, formulas their characters in order, button inputs their values.
 
 Null and empty pages give an empty text; broken markup never fails; trees may be of any depth (only white space is
 bounded: lines are indented by at most ``INDENT``, or nested lists would take space quadratic in the page), in linear
@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from html import unescape
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,7 +49,8 @@ class Node:
         self.tag, self.attrs, self.children = tag, attrs, []
 
 
-_TAG = re.compile(r"""</?[a-zA-Z][^\s/>]*(?:[^"'>]|"[^"]*"|'[^']*'){0,4096}>""")
+#: A tag: names, and values after ``=``. A quote elsewhere is part of a name; no group is tried twice, so time is linear.
+_TAG = re.compile(r"""</?[a-zA-Z][^\s/>]*+(?:[\s/]++|=?+[^\s/>=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)?+|=)*+>""")
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
 RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in ("script", "style", "title", "textarea", "iframe", "noembed", "noframes", "xmp")}
@@ -358,6 +360,11 @@ def _table(node: Node, out: list[str]) -> Step:
             if span == 1:
                 width[at] = max(width.get(at, 0), *(len(x) for x in lines))
             at += span
+    wide = [(span, at, max(len(x) for x in lines)) for cells in rows for at, (lines, span) in zip(accumulate((c[1] for c in cells), initial=0), cells) if span > 1]
+    for span, at, need in sorted(wide):  # a wide cell that does not fit widens the last of its columns
+        room = sum(width.get(c, 0) for c in range(at, at + span)) + 2 * (span - 1)
+        if need > room:
+            width[at + span - 1] = width.get(at + span - 1, 0) + need - room
     out += lead
     for cells in rows:
         for k in range(max((len(lines) for lines, _ in cells), default=0)):

@@ -52,7 +52,7 @@ def test_every_visible_word_stays():
 
 
 def test_time_is_linear():
-    for page in ("<div>" * 5000 + "x", "<b><table><tr><td>" * 2000, "<!--" * 20000, "<a " * 20000, "<a '" * 3000 + ">"):
+    for page in ("<a b=\"'>" * 20000, "<a \"'>" * 20000, "<a =" * 20000, "<div>" * 5000 + "x", "<b><table><tr><td>" * 2000, "<!--" * 20000, "<a " * 20000, "<a '" * 3000 + ">"):
         html.visible_text(page)
 
 
@@ -69,6 +69,9 @@ def test_time_is_linear():
         ("<svg><foreignObject><p>a<br/>b</p></foreignObject><text>c</svg>", "a\nb\n\nc"),
         ("<table><tbody><tr><td rowspan=9>a<td>b<tbody><tr><td>c<td>d</table>", "a  b\nc  d"),
         ("<table><tr><td colspan=\u00b2 rowspan=\u00b2>a<td>b</table>", "a  b"),
+        ("<table><tr><td>a<td>b<td>c<tr><td colspan=2>a wide text<td>d</table>", "a  b         c\na wide text  d"),
+        ("<a title='x>y'>k</a><a b=\"q>\" c>l</a><p a=\"open>m</p>n", "kl\n\nm\n\nn"),
+        ("<a x='" + "y>" * 9000 + "' z=1>k</a>", "k"),
     ],
 )
 def test_rendering_of_drawings_formulas_buttons_and_row_spans(page, text):
@@ -91,6 +94,7 @@ def test_many_open_elements_take_linear_time():
 
 def test_extraction_keeps_rows(spark):
     rows = spark.createDataFrame([(1, "<p>a"), (1, "<p>a"), (2, None)], "page_id int, html string")
+    assert rows.limit(0).select(html.extract_text(F.col("html"))).count() == 0
     assert sorted(tuple(r) for r in rows.select("page_id", html.extract_text(F.col("html")).alias("t")).collect()) == [(1, "a"), (1, "a"), (2, "")]
 
 
@@ -202,3 +206,22 @@ def test_search(spark):
     got = {r.id: r for r in audio.align(asked, index).collect()}
     assert [got[i].match for i in range(0, 30, 5)] == list(range(0, 30, 5)) and {got[i].offset for i in range(0, 30, 5)} == {8}
     assert got[99].match is None and got[98].match is None
+    assert audio.align(asked.limit(0), index).count() == 0 and {r.match for r in audio.align(asked, index.limit(0)).collect()} == {None}
+
+
+@pytest.mark.parametrize("noise", [0.02, 0.05, 0.15])
+def test_search_finds_what_all_pairs_find(spark, noise):
+    """Held notes and silence among them; brute force tries every offset of every recording."""
+    rng = np.random.default_rng(7)
+    vectors = {i: np.repeat(rng.normal(size=32), 2) if i % 3 else rng.normal(size=64) for i in range(40)}
+    whole = {i: audio.fingerprint(audio.render(v)) for i, v in vectors.items()} | {40: audio.fingerprint(audio.render([0.0] * 64)), 41: np.full(90, audio.SILENCE, np.uint32)}
+    asked = {i: audio.fingerprint(audio.render(vectors[i], 0.5, noise, i)) for i in range(0, 40, 2)} | {40: whole[40], 41: whole[41][:50]}
+    long = lambda p: [int(x) for x in p]
+    frame = lambda d: spark.createDataFrame([(i, long(p)) for i, p in d.items()], "id long, print array<long>")
+    got = {r.id: r.match for r in audio.align(frame(asked), frame(whole)).collect()}
+    want = {}
+    for q, p in asked.items():
+        tried = [(audio.bit_error(p, w, o)[0], m) for m, w in whole.items() for o in range(0, 30) if audio.bit_error(p, w, o)[1] > len(p) // 2]
+        want[q] = min(tried)[1] if min(tried)[0] <= audio.MAX_ERROR else None
+    want[41] = None  # silence is like nothing
+    assert sum(got[q] == want[q] for q in asked) >= 0.9 * len(asked) and got[41] is None

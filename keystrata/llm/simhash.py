@@ -14,6 +14,7 @@ and are one node; null ids never name a component unless all its ids are null; a
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from itertools import accumulate
 
 import numpy as np
@@ -33,20 +34,27 @@ BLOCK = 1 << 20
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def simhash(text: str | None, width: int = 3, seed: int = 42) -> int:
-    """Signed 64-bit fingerprint of a text's word shingles, repeats included."""
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
+
+
+def _spans(words: list[bytes], width: int) -> tuple[bytes, Iterable[tuple[int, int]]]:
+    """Words joined by spaces, and the bounds of each shingle in it (of all words if there are fewer)."""
+    joined = b" ".join(words)
+    if len(words) <= width:
+        return joined, [(0, len(joined) + 1)]
+    ends = list(accumulate(map((1).__add__, map(len, words))))
+    return joined, zip([0, *ends], ends[width - 1 :])
+
+
+def _simhash(words: list[bytes], width: int = 3, seed: int = 42) -> int:
     import xxhash
 
-    words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
     if not words:
         return 0
-    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= width:
-        hashes = np.array([digest(joined, seed)], np.uint64)
-    else:
-        ends = list(accumulate(map((1).__add__, map(len, words))))
-        starts = [0, *ends]
-        hashes = np.fromiter((digest(joined[s : e - 1], seed) for s, e in zip(starts, ends[width - 1 :])), np.uint64, len(words) - width + 1)
+    digest = xxhash.xxh64_intdigest
+    joined, spans = _spans(words, width)
+    hashes = np.fromiter((digest(joined[s : e - 1], seed) for s, e in spans), np.uint64, max(1, len(words) - width + 1))
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         block = hashes[at : at + (1 << 16)]
@@ -54,6 +62,11 @@ def simhash(text: str | None, width: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
 
 
+def simhash(text: str | None, width: int = 3, seed: int = 42) -> int:
+    """Signed 64-bit fingerprint of a text's word shingles, repeats included."""
+    return _simhash(_words(text), width, seed)
+
+
 def fingerprint(text: Column, width: int = 3) -> Column:
     @F.pandas_udf(LongType())
     def run(texts: pd.Series) -> pd.Series:
@@ -111,21 +124,20 @@ def near_duplicates(docs: DataFrame, *, width: int = 3, distance: int = 2) -> Da
     return marked.join(stash(ids, "simhash-components"), "fp")
 
 
-def _shingles(text: str | None, width: int, seed: int = 42) -> np.ndarray:
-    """Distinct hashes of a text's word shingles (of the whole text if it has fewer words)."""
+def _shingles(words: list[bytes], width: int, seed: int = 42) -> np.ndarray:
+    """Distinct hashes of the word shingles (of all words if there are fewer)."""
     import xxhash
 
-    words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
     if not words:
         return np.zeros(0, np.uint64)
-    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    ends = list(accumulate(map((1).__add__, map(len, words))))
-    spans = zip([0, *ends], ends[width - 1 :]) if len(words) > width else [(0, len(joined) + 1)]
+    digest = xxhash.xxh64_intdigest
+    joined, spans = _spans(words, width)
     return np.array(list({digest(joined[s : e - 1], seed) for s, e in spans}), np.uint64)
 
 
 def sampled_prints(text: Column, width: int, tables: int, sample: int) -> Column:
-    """Struct of the number of distinct shingles and, for each table, the SimHash of ``sample`` of them, drawn min-wise.
+    """Struct of the SimHash of three-word shingles, the number of distinct shingles of ``width`` words, and, for each
+    table, the SimHash of ``sample`` of them, drawn min-wise.
 
     Two texts draw the same shingle with a probability equal to their Jaccard similarity, and equal draws make equal
     fingerprints: where SimHash over all shingles spreads similar texts over many bits, these meet exactly.
@@ -134,11 +146,13 @@ def sampled_prints(text: Column, width: int, tables: int, sample: int) -> Column
     masks = rng.integers(0, 1 << 63, tables * sample, dtype=np.uint64)
     factors = rng.integers(0, 1 << 63, tables * sample, dtype=np.uint64) | np.uint64(1)
 
-    @F.pandas_udf("n long, prints array<long>")
+    @F.pandas_udf("fp long, n long, prints array<long>")
     def run(texts: pd.Series) -> pd.DataFrame:
-        counts, out = [], []
+        prints, counts, out = [], [], []
         for t in texts:
-            h = _shingles(t, width)
+            words = _words(t)
+            prints.append(_simhash(words))
+            h = _shingles(words, width)
             counts.append(len(h))
             if not len(h):
                 out.append([])
@@ -151,7 +165,7 @@ def sampled_prints(text: Column, width: int, tables: int, sample: int) -> Column
                 joint ^= joint >> np.uint64(32)
             out.append(joint.view(np.int64))
         release()
-        return pd.DataFrame({"n": counts, "prints": out})
+        return pd.DataFrame({"fp": np.array(prints, np.int64), "n": np.array(counts, np.int64), "prints": out})
 
     return run(text)
 
@@ -203,14 +217,13 @@ def _connect(nodes: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], simil
     return links
 
 
-def _links_of_large_cells(large: DataFrame, links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Edges that, with ``links``, connect exactly what all similar pairs in cells ``table, print, node, n`` connect.
+def links_of_large_cells(large: DataFrame, known: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Edges that, with groups ``known`` (``node, root``), connect what all similar pairs in cells ``table, print, node, n`` do.
 
-    Cells that ``links`` connect already need no more. The others are cut into blocks of ``BLOCK`` shingles, groups that
-    are connected side by side, and each two blocks of a cell are searched together unless they are one group.
+    Cells of one group need no more. The others are cut into blocks of ``BLOCK`` shingles, groups side by side, and each
+    two blocks of a cell are searched together unless they are one group.
     """
     cell = ["table", "print"]
-    known = components(links)
     rows = large.select(*cell, "n", F.col("node").alias("of")).join(known, F.col("of") == F.col("node"), "left").select(*cell, "of", "n", F.coalesce("root", "of").alias("root"))
     whole = Window.partitionBy(*cell)
     rows = rows.withColumn("lo", F.min("root").over(whole)).withColumn("hi", F.max("root").over(whole)).where("lo <> hi").drop("lo", "hi")
@@ -233,63 +246,87 @@ def _links_of_large_cells(large: DataFrame, links: DataFrame, sets: DataFrame, s
     return stash(units.groupBy(*unit).applyInArrow(run, "a long, b long").distinct(), "similar-rest-links")
 
 
-def similar_links(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, tables: int = 14, sample: int = 4) -> DataFrame:
-    """``node, text`` (equal texts, equal node) -> verified edges ``a, b`` of Jaccard similarity ``similarity`` or more.
+def similar_links(prints: DataFrame, texts: DataFrame, *, width: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``node, n, prints`` of different texts, and ``node, text`` -> verified edges ``a, b`` of Jaccard similarity
+    ``similarity`` or more, the cells whose pairs they may leave out, and the shingles of texts.
 
-    Cells of up to ``DENSE`` texts pair all of their members. In larger ones each is paired with the smallest node and
-    the one before it, which connects most families of copies in linear rows; what these pairs leave apart in a cell is
-    then searched exactly. Not all pairs of a large cell are returned, but all are connected. A pair of similarity 0.8
-    shares no cell with a probability below 0.001.
+    Cells of up to ``DENSE`` texts pair all of their members. In larger ones each is paired with the most typical one
+    (that with the most company in its large cells) and with the one before it in that order, which connects most
+    families of copies in linear rows; ``links_of_large_cells`` finds what these pairs leave apart. A pair of similarity
+    0.8 shares no cell with a probability below 0.001.
     """
-    made = docs.select("node", sampled_prints(F.col("text"), width, tables, sample).alias("p"))
-    cells = made.select("node", F.col("p.n").alias("n"), F.posexplode("p.prints").alias("table", "print")).distinct()
-    at = Window.partitionBy("table", "print")
-    cells = cells.withColumn("size", F.count(F.lit(1)).over(at)).where("size > 1")
-    cells = cells.withColumn("one", F.min(F.struct("node", "n")).over(at)).withColumn("two", F.lag(F.struct("node", "n")).over(at.orderBy("node")))
-    cells = stash(cells, "similar-cells")
-    small, large = cells.where(F.col("size") <= DENSE), cells.where(F.col("size") > DENSE)
-    left = small.select("table", "print", F.col("node").alias("a"), F.col("n").alias("a_n"))
-    pairs = left.join(small.select("table", "print", F.col("node").alias("b"), F.col("n").alias("b_n")), ["table", "print"]).where("a < b").select("a", "a_n", "b", "b_n")
-    for other in ("one", "two"):
-        star = large.where(F.col(other).isNotNull()).select(F.col(f"{other}.node").alias("a"), F.col(f"{other}.n").alias("a_n"), F.col("node").alias("b"), F.col("n").alias("b_n"))
-        pairs = pairs.unionByName(star.where("a < b"))
+    cell = ["table", "print"]
+    cells = prints.select("node", "n", F.posexplode("prints").alias(*cell))
+    cells = stash(cells.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy(*cell))).where("size > 1"), "similar-cells")
+    small, large = cells.where(F.col("size") <= DENSE), stash(cells.where(F.col("size") > DENSE), "similar-large")
+    left = small.select(*cell, F.col("node").alias("a"), F.col("n").alias("a_n"))
+    pairs = left.join(small.select(*cell, F.col("node").alias("b"), F.col("n").alias("b_n")), cell).where("a < b").select("a", "a_n", "b", "b_n")
+    if not large.isEmpty():
+        company = large.groupBy(F.col("node").alias("of")).agg(F.sum("size").alias("company"))
+        ranked = large.join(company, F.col("node") == F.col("of")).withColumn("me", F.struct("company", "node", "n"))
+        at = Window.partitionBy(*cell)
+        ranked = ranked.select("node", "n", F.max("me").over(at).alias("one"), F.lag("me").over(at.orderBy("me")).alias("two"))
+        for other in ("one", "two"):
+            star = ranked.where(F.col(f"{other}.node") != F.col("node"))
+            ends = F.struct("node", "n"), F.struct(f"{other}.node", f"{other}.n")
+            star = star.select(F.least(*ends).alias("x"), F.greatest(*ends).alias("y"))
+            pairs = pairs.unionByName(star.select(F.col("x.node").alias("a"), F.col("x.n").alias("a_n"), F.col("y.node").alias("b"), F.col("y.n").alias("b_n")))
     # Sizes alone rule out most chance meetings.
     pairs = stash(pairs.where(F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n")).select("a", "b").distinct(), "similar-pairs")
-    nodes = stash(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(large.select("node")).distinct(), "similar-nodes")
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(large.select("node")).distinct()
 
     @F.pandas_udf("array<long>")
     def shingled(texts: pd.Series) -> pd.Series:
         release()
-        return pd.Series([_shingles(t, width).view(np.int64) for t in texts], dtype="object")
+        return pd.Series([_shingles(_words(t), width).view(np.int64) for t in texts], dtype="object")
 
-    one_each = docs.join(nodes.hint("shuffle_hash"), "node").groupBy("node").agg(F.first("text").alias("text"))
-    sets = stash(one_each.select("node", shingled("text").alias("s")), "similar-sets")
+    sets = stash(texts(nodes).select("node", shingled("text").alias("s")), "similar-sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("a_s")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("b_s")), "b")
     shared = F.size(F.array_intersect("a_s", "b_s"))
     links = stash(both.where(shared >= similarity * (F.size("a_s") + F.size("b_s") - shared)).select("a", "b"), "similar-links")
-    return links if large.isEmpty() else links.unionByName(_links_of_large_cells(large, links, sets, similarity))
+    return links, large, sets
 
 
-def keep_one(docs: DataFrame, *, similarity: float = 0.8) -> DataFrame:
+def keep_one(docs: DataFrame, *, width: int = 5, similarity: float = 0.8, tables: int = 14, sample: int = 4) -> DataFrame:
     """The rows of ``docs`` less near-duplicates: of each group the row of least id, then least text hash.
 
     A group is connected by fingerprints within 2 bits (three-word shingles) or by Jaccard similarity of five-word
-    shingles, verified exactly. Rows without an id come after those with one.
+    shingles, verified exactly. Rows without an id come after those with one. Each text is cut into words once, and
+    again if it has a candidate; equal texts (128 bits of hashes) are one node from the first exchange on.
     """
     s_a, s_b = fresh(docs, "a", "b")
     text = text_or_empty()
-    keys = [F.xxhash64("doc_id", text).alias("a"), F.xxhash64(text, "doc_id", F.lit(1)).alias("b"), F.xxhash64(text).alias("node")]
-    marked = stash(near_duplicates(docs.select("doc_id", "text", *keys)), "simhash-marked")
-    root = marked.groupBy("component_fp").agg(F.min("node").alias("least"))
-    stars = marked.join(root, "component_fp").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    links = similar_links(docs.select(F.xxhash64(text).alias("node"), text.alias("text")), similarity=similarity)
-    groups = components(stars.union(links)).withColumnRenamed("node", "of")
+    row = F.xxhash64("doc_id", text), F.xxhash64(text, "doc_id", F.lit(1))
+    marked = docs.select("doc_id", row[0].alias("a"), row[1].alias("b"), F.xxhash64(text).alias("x"), F.xxhash64(text, F.lit(2)).alias("y"), sampled_prints(F.col("text"), width, tables, sample).alias("p"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "a", "b"))
-    kept = marked.join(groups, F.col("node") == F.col("of"), "left").groupBy(F.coalesce("root", "node").alias("group")).agg(least.alias("r"))
-    kept = stash(kept.select(F.col("r.a").alias(s_a), F.col("r.b").alias(s_b)), "simhash-kept")
-    rows = docs.withColumn(s_a, keys[0]).withColumn(s_b, keys[1]).join(kept.hint("shuffle_hash"), [s_a, s_b])
-    wanted = marked.join(kept, (F.col("a") == F.col(s_a)) & (F.col("b") == F.col(s_b)), "left_semi").count()
-    if wanted > kept.count():  # some kept row is there more than once
+    nodes = marked.groupBy("x", "y").agg(F.first("p").alias("p"), least.alias("r"))
+    nodes = stash(nodes.select(F.monotonically_increasing_id().alias("node"), "p.*", "r"), "near-nodes")  # numbered once: the table is written
+
+    def texts(some: DataFrame) -> DataFrame:
+        """Texts of nodes, from the row that stands for each (and those that equal it in id and text)."""
+        wanted = some.join(nodes.select("node", F.col("r.a").alias("a"), F.col("r.b").alias("b")), "node")
+        rows = docs.select(row[0].alias("a"), row[1].alias("b"), text.alias("text")).join(wanted.hint("shuffle_hash"), ["a", "b"])
+        return rows.groupBy("a", "b", "node").agg(F.first("text").alias("text")).select("node", "text")
+
+    links, large, sets = similar_links(nodes.select("node", "n", "prints"), texts, width=width, similarity=similarity)
+    prints = stash(nodes.groupBy("fp").agg(F.min("node").alias("first")), "near-prints")
+    equal = nodes.join(prints, "fp").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    bits = near_links(prints.select("fp"))
+    of = lambda c: prints.select(F.col("fp").alias(f"{c}_fp"), F.col("first").alias(c))
+    bits = bits.withColumnsRenamed({"a": "a_fp", "b": "b_fp"}).join(of("a"), "a_fp").join(of("b"), "b_fp").select("a", "b")
+    groups = components(links.union(equal).union(bits))
+    rest = links if large.isEmpty() else links_of_large_cells(large, groups, sets, similarity)
+    if not large.isEmpty() and not rest.isEmpty():
+        root = lambda c: groups.select(F.col("node").alias(f"{c}_of"), F.col("root").alias(f"{c}_root"))
+        joined = rest.join(root("a"), F.col("a") == F.col("a_of"), "left").join(root("b"), F.col("b") == F.col("b_of"), "left")
+        more = components(joined.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))).select(F.col("node").alias("old"), F.col("root").alias("new"))
+        every = nodes.select("node").join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+        groups = stash(every.join(more, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root")), "near-groups")
+    kept = nodes.select("node", "r").join(groups, "node", "left").groupBy(F.coalesce("root", "node").alias("group")).agg(F.min("r").alias("r"))
+    kept = stash(kept.select(F.col("r.a").alias(s_a), F.col("r.b").alias(s_b)), "near-kept")
+    marked = docs.withColumn(s_a, row[0]).withColumn(s_b, row[1])
+    rows = marked.join(kept.hint("shuffle_hash"), [s_a, s_b])
+    if marked.select(s_a, s_b).join(kept, [s_a, s_b], "left_semi").count() > kept.count():  # some kept row is there more than once
         rows = rows.dropDuplicates([s_a, s_b])
     return rows.select(*docs.columns)
 

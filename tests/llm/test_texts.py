@@ -240,7 +240,11 @@ def test_large_cells_connect_what_brute_force_connects(spark, monkeypatch, block
     nodes = rng.sample(range(-(10**9), 10**9), len(texts))
     of = dict(zip(nodes, sets))
     alike = lambda a, b: bool(of[a] & of[b]) and len(of[a] & of[b]) >= 0.8 * len(of[a] | of[b])
-    links = simhash.similar_links(spark.createDataFrame(list(zip(nodes, texts)), "node long, text string")).collect()
+    table = spark.createDataFrame(list(zip(nodes, texts)), "node long, text string")
+    prints = table.select("node", simhash.sampled_prints(table.text, 5, 14, 4).alias("p")).select("node", "p.*")
+    links, large, sets = simhash.similar_links(prints, lambda some: table.join(some, "node"))
+    rest = simhash.links_of_large_cells(large, components(links), sets, 0.8)
+    links = links.union(rest).collect()
     assert all(alike(r.a, r.b) for r in links)
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     want = simple_components(sorted(nodes), alike)

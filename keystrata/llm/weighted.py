@@ -121,34 +121,36 @@ def edited_by_next(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """Fingerprints of ``doc_id, text`` and of the text whose last third is the start of the next document's.
 
     Next is by descending id (nulls last), equal ids by text hash; the last document is followed by the first. Rows are
-    dealt out by ranges of ids, each range in order as a stream, with a copy of the row that follows the range. Texts
-    cross the network once.
+    dealt out by ranges of ids (those without one by ranges of text hashes), each range in order as a stream, with a copy
+    of the row that follows the range. Texts cross the network once.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", text_or_empty().alias("text")).withColumn("tie", F.xxhash64("text"))
-    n = rows.count()
+    n, n_null = rows.agg(F.count(F.lit(1)), F.count_if(F.col("doc_id").isNull())).first()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranges = max(1, min(10_000, 8 * parts, n // 64))
+    ranges, null_ranges = (max(1, min(10_000, 8 * parts, k // 64)) for k in (n, n_null))
     ids = rows.where("doc_id is not null").select("doc_id")
     at = [k / ranges for k in range(1, ranges + 1)]
     cuts = ids.agg(F.percentile_approx("doc_id", at, 10 * ranges)).first()[0] or []  # at most 10,000 ids
     bounds = np.unique(np.array(cuts, np.int64))
 
-    @F.pandas_udf("int")
-    def range_of(ids: pd.Series) -> pd.Series:  # 0 holds the greatest ids, the last one those that are null
-        at = len(bounds) - np.searchsorted(bounds, ids.fillna(0).to_numpy(np.int64), side="left")
-        return pd.Series(np.where(ids.isna(), len(bounds) + 1, at).astype(np.int32))
+    @F.arrow_udf("int")
+    def range_of(ids: pa.Array, ties: pa.Array) -> pa.Array:  # 0 holds the greatest ids, the last ones those that are null
+        none = ids.is_null().to_numpy(zero_copy_only=False)
+        at = len(bounds) - np.searchsorted(bounds, ids.fill_null(0).to_numpy(), side="left")
+        last = len(bounds) + 1 + (((ties.to_numpy() >> 32) + (1 << 31)) * null_ranges >> 32)
+        return pa.array(np.where(none, last, at).astype(np.int32))
 
-    dealt = rows.withColumn("range", range_of("doc_id"))
+    dealt = rows.withColumn("range", range_of("doc_id", "tie"))
     # The first row of each range, in the order nulls last, ids down, hashes up.
-    order = F.struct(F.col("doc_id").isNull().alias("none"), (-F.col("doc_id")).alias("down"), "tie")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.bitwise_not("doc_id").alias("down"), "tie")
     firsts = sorted(dealt.groupBy("range").agg(F.min(order).alias("o")).collect(), key=lambda r: r["range"])  # a row for each range
     follows = {r["range"]: firsts[k - 1]["range"] for k, r in enumerate(firsts)}
     to = F.lit(None).cast("int")
     if follows:
         table = spark.createDataFrame([(r["range"], follows[r["range"]], r["o"]["none"], r["o"]["down"], r["o"]["tie"]) for r in firsts], "f_range int, f_to int, f_none boolean, f_down long, f_tie long")
         dealt = dealt.join(F.broadcast(table), F.col("range") == F.col("f_range"), "left")
-        first = (F.col("doc_id").isNull() == F.col("f_none")) & (-F.col("doc_id")).eqNullSafe(F.col("f_down")) & (F.col("tie") == F.col("f_tie"))
+        first = (F.col("doc_id").isNull() == F.col("f_none")) & F.bitwise_not("doc_id").eqNullSafe(F.col("f_down")) & (F.col("tie") == F.col("f_tie"))
         to = F.when(first, F.col("f_to"))
     own = F.struct(F.col("range"), F.lit(False).alias("after"))
     more = F.when(to.isNotNull(), F.array(own, F.struct(to.alias("range"), F.lit(True).alias("after")))).otherwise(F.array(own))

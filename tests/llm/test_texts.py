@@ -264,7 +264,10 @@ def test_draws_estimate_generalised_jaccard():
         assert abs(got - want) < 0.09
 
 
-def test_edited_texts(docs, none):
+@pytest.mark.parametrize("more", [0, 300])
+def test_edited_texts(spark, docs, none, more):
+    odd = [(None, words(1 + i % 9, i // 2), "s", None, i) for i in range(more)] + [(v, "least and most", "s", None, 0) for v in (-(1 << 63), (1 << 63) - 1)[: more]]
+    docs = docs.union(spark.createDataFrame(odd, SCHEMA))
     rows = sorted(docs.collect(), key=lambda r: (r.doc_id is None, -(r.doc_id or 0), _signed(r.text)))
     got = weighted.edited_by_next(docs).collect()
     want = []

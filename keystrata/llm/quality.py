@@ -249,7 +249,8 @@ def fit_model(docs: DataFrame, labels: DataFrame, max_labelled: int = 8_000) ->
                 yield _bagged(batch.slice(at), held)
             release()
 
-    found = stash(rows.mapInArrow(run, "doc_id long, y double, bag binary").dropDuplicates(["doc_id"]), "quality-bags")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    found = stash(rows.mapInArrow(run, f"doc_id {kind}, y double, bag binary").dropDuplicates(["doc_id"]), "quality-bags")
     size = found.agg(F.sum(F.octet_length("bag"))).first()[0]
     if not size:
         return None

@@ -26,6 +26,7 @@ by 64-bit hashes; suffixes are compared byte by byte.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -378,24 +379,44 @@ def _apply(text_name: str, span_name: str, lengths: tuple[int, ...], as_text: bo
     return run
 
 
-def remove_repeats(docs: DataFrame, *, length: int = 400, finer: int | None = None, as_text: bool = False) -> DataFrame:
+def _lengths(length: int, finer: int | None) -> tuple[int, ...]:
+    lengths = (length,) if finer is None else (length, finer)
+    if min(lengths) < 2 * GRAM:
+        raise ValueError(f"lengths of {2 * GRAM} bytes or more")
+    return lengths
+
+
+def text_rows(docs: DataFrame) -> DataFrame:
+    """``a, b, t``: 128 bits of hashes of id and text, and the text."""
+    text = text_or_empty()
+    return docs.select(F.xxhash64("doc_id", text).alias("a"), F.xxhash64(text, "doc_id", F.lit(1)).alias("b"), text.alias("t"))
+
+
+def find_anchors(docs: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+    """The anchors of all texts, one row for the equal contexts of a document, as a table in the shared folder."""
+    return stash(text_rows(docs).mapInArrow(_find(min(lengths), max(lengths)), FOUND), "repeats-anchors")
+
+
+def remove_repeats(docs: DataFrame, *, length: int = 400, finer: int | None = None, as_text: bool = False, earlier: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """``docs`` without ``text``, with ``n_bytes``, ``spans`` (removed runs, byte offsets) and ``kept``, reserved names.
 
     ``kept`` is bytes, or with ``as_text`` a string, from which the rest of a character that is cut in two is left out.
     With ``finer``, a lesser length, ``finer_spans`` (reserved too) tells which runs repeat at that length; they stay.
+    With ``earlier``, the anchors and text rows of other documents, what also starts in one of those repeats as well.
     """
-    lengths = (length,) if finer is None else (length, finer)
-    base, longest = min(lengths), max(lengths)
-    if base < 2 * GRAM:
-        raise ValueError(f"lengths of {2 * GRAM} bytes or more")
+    lengths = _lengths(length, finer)
+    base = min(lengths)
     s_text, s_a, s_b, s_spans = fresh(docs, "text", "a", "b", "spans")
     rows = docs.withColumn(s_text, text_or_empty()).drop("text")
     rows = rows.withColumn(s_a, F.xxhash64("doc_id", s_text)).withColumn(s_b, F.xxhash64(s_text, "doc_id", F.lit(1)))
 
-    plain = rows.select(F.col(s_a).alias("a"), F.col(s_b).alias("b"), F.col(s_text).alias("t"))
-    found = stash(plain.mapInArrow(_find(base, longest), FOUND), "repeats-anchors")
+    own = find_anchors(docs, lengths)
+    found = own if earlier is None else own.unionByName(earlier[0])
     grams = found.groupBy("gram").agg(F.sum("times").alias("all"), (F.min("context") != F.max("context")).alias("mixed"))
-    grams = stash(grams.where("`all` > 1").select("gram", "mixed"), "repeats-grams")
+    grams = grams.where("`all` > 1").select("gram", "mixed")
+    if earlier is not None:
+        grams = grams.join(own.select("gram").distinct(), "gram", "left_semi")
+    grams = stash(grams, "repeats-grams")
     repeated = stash(found.join(grams, "gram"), "repeats-repeated")
 
     # Contexts that differ from others of their gram: one occurrence of each is cut from its text and indexed.
@@ -409,9 +430,13 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, finer: int | None = No
     # Both joins read the same exchange of the texts: same key, same columns, so texts cross the network once.
     dealt = rows.repartition(parts, s_a, s_b)
     keep = [c for c in docs.columns if c != "text"]
-    texts = dealt.join(wanted.hint("shuffle_hash"), [s_a, s_b])
+    if earlier is None:
+        texts = dealt.join(wanted.hint("shuffle_hash"), [s_a, s_b])
+    else:
+        some = earlier[1].select(F.col("a").alias(s_a), F.col("b").alias(s_b), F.col("t").alias(s_text))
+        texts = rows.select(s_a, s_b, s_text).unionByName(some).join(wanted.hint("shuffle_hash"), [s_a, s_b])
     (s_wanted,) = fresh(texts, "wanted")
-    texts = texts.select(F.col(s_text).alias(s_text), F.col("wanted").alias(s_wanted), *keep)
+    texts = texts.select(F.col(s_text).alias(s_text), F.col("wanted").alias(s_wanted), *(keep if earlier is None else []))
     cut = texts.mapInArrow(_cut(s_text, s_wanted), CUT)
     hot = stash(kinds.groupBy("gram").count().where(F.col("count") > HOT).select("gram"), "repeats-hot")
     if hot.isEmpty():
@@ -446,6 +471,55 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, finer: int | None = No
     return done.select(*keep, s_text, s_spans).mapInArrow(_apply(s_text, s_spans, lengths, as_text), kind)
 
 
+class RepeatIndex:
+    """An index of batches on a folder that all executors see: what a new batch repeats, of itself or of any before it.
+
+    Each batch becomes a level, its anchors sorted by gram; a batch is matched with all levels by merge joins, and after
+    it levels merge while the newest is as large as the one before it, so there are logarithmically many and each anchor is
+    written as often. A level is named by the batches in it; one that another level contains is what an interrupted merge
+    has left, and is not read. Texts are kept by batch, since contexts are cut from them when their grams meet.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, *, length: int = 400, finer: int | None = None) -> None:
+        self.spark, self.path, self.length, self.finer = spark, path.rstrip("/"), length, finer
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        self._path = hadoop.Path
+        self._files = hadoop.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def levels(self) -> list[tuple[int, int]]:
+        """First and last batch of each level, in order."""
+        found = [s.getPath().getParent().getName() for s in self._files.globStatus(self._path(f"{self.path}/levels/*/_SUCCESS")) or []]
+        every = [tuple(map(int, name.split("-"))) for name in found]
+        return sorted(x for x in every if not any(y != x and y[0] <= x[0] and x[1] <= y[1] for y in every))
+
+    def _level(self, first: int, last: int) -> DataFrame:
+        return self.spark.read.schema(FOUND).parquet(f"{self.path}/levels/{first}-{last}")
+
+    def _write(self, anchors_: DataFrame, first: int, last: int) -> None:
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        anchors_.repartitionByRange(parts, "gram").sortWithinPartitions("gram", "context").write.mode("overwrite").parquet(f"{self.path}/levels/{first}-{last}")
+
+    def add(self, docs: DataFrame, *, as_text: bool = False) -> DataFrame:
+        """The result of ``remove_repeats`` for a new batch, which is part of the index from then on."""
+        levels = self.levels()
+        earlier = None
+        if levels:
+            texts = self.spark.read.schema("a long, b long, t string").parquet(*(f"{self.path}/texts/{k}" for k in range(levels[-1][1] + 1)))
+            earlier = reduce(DataFrame.unionByName, [self._level(*x) for x in levels]), texts
+        out = stash(remove_repeats(docs, length=self.length, finer=self.finer, as_text=as_text, earlier=earlier), "repeats-batch")
+        number = levels[-1][1] + 1 if levels else 0
+        text_rows(docs).write.mode("overwrite").parquet(f"{self.path}/texts/{number}")
+        self._write(find_anchors(docs, _lengths(self.length, self.finer)), number, number)
+        levels.append((number, number))
+        while len(levels) > 1 and levels[-1][1] - levels[-1][0] >= levels[-2][1] - levels[-2][0]:
+            old, new = levels[-2:]
+            self._write(self._level(*old).unionByName(self._level(*new)), old[0], new[1])
+            levels[-2:] = [(old[0], new[1])]
+            for x in (old, new):
+                self._files.delete(self._path(f"{self.path}/levels/{x[0]}-{x[1]}"), True)
+        return out
+
+
 #: Bytes of the shorter repeats that the query reports beside its contract: below those of 50 words.
 FINER = 200
 

@@ -421,6 +421,22 @@ def test_repeats(spark, docs, none, monkeypatch, batch, hot, length, finer):
     assert repeats.remove_repeats(none, finer=finer).count() == 0
 
 
+def test_an_index_takes_batch_after_batch(spark, tmp_path):
+    texts = passages_and_edits(5)
+    texts += texts[:2] + [None, ""]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    index, seen = repeats.RepeatIndex(spark, f"file://{tmp_path}/index", length=200), []
+    for k, (lo, hi) in enumerate(((0, 30), (30, 31), (31, 60), (60, 99))):
+        got = index.add(table.where(table.doc_id.between(lo, hi - 1))).collect()
+        seen += texts[lo:hi]
+        want = {i: w[:3] for i, w in enumerate(simple_repeats(seen, 200))}
+        assert {r.doc_id: (r.n_bytes, sum(s.stop - s.start for s in r.spans), len(r.spans)) for r in got} == {i: want[i] for i in range(lo, min(hi, len(texts)))}
+        assert index.levels() == [[(0, 0)], [(0, 1)], [(0, 1), (2, 2)], [(0, 3)]][k]
+    (tmp_path / "index/levels/2-2").mkdir()  # as a merge leaves it that is cut short
+    (tmp_path / "index/levels/2-2/_SUCCESS").touch()
+    assert index.levels() == [(0, 3)] and index.add(table.limit(0)).count() == 0
+
+
 def contexts_of(texts, length):
     raw = [t.encode() for t in texts]
     data, starts = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])

@@ -16,6 +16,7 @@ by whatever order columns are given, and are interchangeable beyond that; an emp
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from bisect import bisect_left, insort
@@ -37,6 +38,11 @@ TEXT_BLOCK = 4 << 20
 WORDS_KEPT, PARTS_KEPT, LONGEST_KEPT = 50_000, 400_000, 64
 #: White space for ``str.split`` but not for the tokenizers' ``\s``.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
+# The normaliser, the splitting and the mark of a word's end that ``WordEncoder`` follows in numpy.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTING = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": SPLITTING}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+WORD_END = "</w>"
 
 
 class WordEncoder:
@@ -46,7 +52,8 @@ class WordEncoder:
     other signs; the text's ids are those of the parts, one after the other. Texts of ASCII and Western accented letters
     are split in numpy, some megabytes at a time; their distinct parts are found in Arrow, those not seen before go to
     the tokenizer's merges, thousands in a call, and ids are gathered by part number. Other texts go word by word through
-    the whole tokenizer, and as a whole where they hold what looks like a special token or separators.
+    the whole tokenizer, and as a whole where they hold what looks like a special token or separators. A tokenizer that
+    splits in any other way gets all texts as a whole.
     """
 
     #: Bytes outside ASCII and U+00C0 to U+00FF, or separators that only Python takes for white space.
@@ -59,9 +66,14 @@ class WordEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        rules = json.loads(self.tokenizer.to_str())
+        special = all(t["content"].startswith("<|") for t in rules["added_tokens"])
+        self.by_words = special and (rules["normalizer"], rules["pre_tokenizer"], rules["model"].get("end_of_word_suffix")) == (NORMALIZER, PRE_TOKENIZER, WORD_END)
+        self.kept, self.block = kept, block
+        if not self.by_words:
+            return
         self.merges = Tokenizer(self.tokenizer.model)
         self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        self.kept, self.block = kept, block
         self.parts: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         self.other: dict[str, bytes] = {}
@@ -70,7 +82,7 @@ class WordEncoder:
         self.alphabet = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)} | {32: " "}
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a part
-        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.last[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -168,6 +180,10 @@ class WordEncoder:
     def encode(self, texts: pa.Array) -> Iterator[bytes]:
         raw, ends = bytes_of(texts)
         every, at = np.frombuffer(raw, np.uint8), 0
+        while at < len(texts) and not self.by_words:
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + self.block, side="right")) - 1)
+            yield from self._whole([bytes(raw[ends[i] : ends[i + 1]]).decode("utf-8", "surrogatepass") for i in range(at, to)])
+            at = to
         while at < len(texts):
             to = max(at + 1, int(np.searchsorted(ends, ends[at] + self.block, side="right")) - 1)
             lo, bounds = int(ends[at]), ends[at : to + 1] - ends[at]

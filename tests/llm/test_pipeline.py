@@ -4,6 +4,7 @@ import random
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
 from keystrata.llm import registry
 
@@ -57,6 +58,18 @@ def test_stages(spark, folder):
     assert results[4].where("sequence_id is null").count() == 0 and results[4].groupBy("sequence_id").agg({"length": "sum"}).where("`sum(length)` > 2048").count() == 0
 
 
+def test_columns_of_any_name_pass_through(spark, folder):
+    names = "score predicted held_out size source_size target taken epochs picked kept spans n_bytes node a b fp _a _text prints finer_spans piece length".split()
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "source", "n_chars", *(F.concat(F.lit(f"{n}-"), F.col("doc_id").cast("string")).alias(n) for n in names))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns
+        docs = spark.createDataFrame(out.collect(), docs.schema)
+    rows = docs.collect()
+    assert len(rows) > 100 and all(r[n] == f"{n}-{r.doc_id}" for r in rows for n in names if r.doc_id is not None)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).count() >= len(rows)
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], COLUMNS)
     import tempfile

@@ -48,10 +48,14 @@ def test_encoder_equals_the_tokenizer():
     rng = random.Random(4)
     plain, wide = [chr(c) for c in range(1, 256)], [chr(c) for c in [*range(0x370, 0x400), *range(0x2000, 0x2070), 0x300, 0x1F600, 0xAC00]]
     texts = ["".join(rng.choice(plain if k % 2 else wide + plain[60:120]) for _ in range(50)) for k in range(600)]
-    texts += ["", " ", "it's we'll I'D o'x ''s don't've 12a3", "a<|endoftext|>b", "x" * 500]
-    tokenizer = Tokenizer.from_file(packing.word_tokenizer())
-    got = packing.WordEncoder(packing.word_tokenizer()).encode(pa.array(texts))
-    assert [np.frombuffer(b, "<u4").tolist() for b in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    texts += ["", " ", "it's we'll I'D o'x ''s don't've 12a3", "a<|endoftext|>b", "x" * 500, "a\0b \0 c\0", None]
+    import public_tokenizers
+
+    for path, by_words in ((packing.word_tokenizer(), True), (public_tokenizers.path("byte_bpe_50k.json"), False)):
+        tokenizer, encoder = Tokenizer.from_file(path), packing.WordEncoder(path, block=2000)
+        got = encoder.encode(pa.array(texts))
+        assert encoder.by_words == by_words
+        assert [np.frombuffer(b, "<u4").tolist() for b in got] == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
 @settings(max_examples=60, deadline=None)

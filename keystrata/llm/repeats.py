@@ -353,7 +353,7 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def _apply(text_name: str, span_name: str, lengths: tuple[int, ...], as_text: bool):
+def _apply(text_name: str, span_name: str, lengths: tuple[int, ...], words: tuple[int, ...], as_text: bool):
     kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,9 +362,10 @@ def _apply(text_name: str, span_name: str, lengths: tuple[int, ...], as_text: bo
             raw, bounds = bytes_of(batch.column(text_name))
             all_spans, kept = [[] for _ in lengths], []
             for i, spans in enumerate(batch.column(span_name).to_pylist()):
-                for k, out in enumerate(all_spans):
-                    out.append(_merge([(s[f"s{k}"], s[f"e{k}"]) for s in spans or [] if s[f"s{k}"] is not None]))
                 text = raw[bounds[i] : bounds[i + 1]]
+                for k, out in enumerate(all_spans):
+                    runs = _merge([(s[f"s{k}"], s[f"e{k}"]) for s in spans or [] if s[f"s{k}"] is not None])
+                    out.append([(s, e) for s, e in runs if not words[k] or len(bytes(text[s:e]).split()) >= words[k]])
                 at, parts = 0, []
                 for s, e in all_spans[0][-1]:
                     parts.append(text[at:s])
@@ -397,11 +398,14 @@ def find_anchors(docs: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
     return stash(text_rows(docs).mapInArrow(_find(min(lengths), max(lengths)), FOUND), "repeats-anchors")
 
 
-def remove_repeats(docs: DataFrame, *, length: int = 400, finer: int | None = None, as_text: bool = False, earlier: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, *, length: int = 400, words: int = 0, finer: int | None = None, finer_words: int = 0, as_text: bool = False, earlier: tuple[DataFrame, DataFrame] | None = None
+) -> DataFrame:
     """``docs`` without ``text``, with ``n_bytes``, ``spans`` (removed runs, byte offsets) and ``kept``, reserved names.
 
     ``kept`` is bytes, or with ``as_text`` a string, from which the rest of a character that is cut in two is left out.
     With ``finer``, a lesser length, ``finer_spans`` (reserved too) tells which runs repeat at that length; they stay.
+    Runs of fewer than ``words`` (``finer_words``) words, split at ASCII white space, do not count and stay.
     With ``earlier``, the anchors and text rows of other documents, what also starts in one of those repeats as well.
     """
     lengths = _lengths(length, finer)
@@ -468,7 +472,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, finer: int | None = No
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in done.select(*keep).schema)
     span = "array<struct<start:long,stop:long>>"
     kind = f"{schema}, n_bytes long, spans {span}, kept {'string' if as_text else 'binary'}" + (f", finer_spans {span}" if finer else "")
-    return done.select(*keep, s_text, s_spans).mapInArrow(_apply(s_text, s_spans, lengths, as_text), kind)
+    return done.select(*keep, s_text, s_spans).mapInArrow(_apply(s_text, s_spans, lengths, (words, finer_words), as_text), kind)
 
 
 class RepeatIndex:
@@ -520,14 +524,15 @@ class RepeatIndex:
         return out
 
 
-#: Bytes of the shorter repeats that the query reports beside its contract: below those of 50 words.
-FINER = 200
+#: Bytes of the shorter repeats that the query reports beside its contract, below those of 50 words, and their least words.
+FINER, FINER_WORDS = 200, 50
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The contract's columns, and ``n_repeated``: bytes within strings of ``FINER`` bytes that also start elsewhere."""
+    """The contract's columns, and ``n_repeated``: bytes in runs of ``FINER_WORDS`` words or more that strings of ``FINER``
+    bytes cover which also start elsewhere."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = remove_repeats(docs, finer=FINER)
+    out = remove_repeats(docs, finer=FINER, finer_words=FINER_WORDS)
     size = lambda spans: F.aggregate(spans, F.lit(0).cast("long"), lambda x, s: x + s["stop"] - s["start"])
     return out.select("doc_id", "n_bytes", size("spans").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), size("finer_spans").alias("n_repeated"))
 
@@ -548,8 +553,11 @@ def _spans_sql(length: int, name: str) -> str:
 OP10_SQL = f"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
-), {_spans_sql(400, "longer")}, {_spans_sql(FINER, "finer")},
-gaps AS (
+), {_spans_sql(400, "longer")}, {_spans_sql(FINER, "short")},
+finer AS (
+  SELECT short.rid, lo, hi FROM short JOIN d USING (rid)
+  WHERE len(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(substr(h, 2 * lo + 1, 2 * (hi - lo)), '(..)', '\\1 ', 'g'), '(20|09|0A|0B|0C|0D) ', '.', 'g'), '[0-9A-F]{{2}} ', 'x', 'g'), 'x+')) >= {FINER_WORDS}
+), gaps AS (
   SELECT rid, h, start, least(until, length(h) // 2) AS until FROM (
     SELECT d.rid, d.h, coalesce(lag(hi) OVER (PARTITION BY d.rid ORDER BY lo), 0) AS start, lo AS until FROM d JOIN longer ON d.rid = longer.rid
     UNION ALL SELECT d.rid, d.h, coalesce((SELECT max(hi) FROM longer WHERE longer.rid = d.rid), 0), length(h) // 2 FROM d)

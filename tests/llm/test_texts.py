@@ -425,6 +425,18 @@ def test_repeats(spark, docs, none, monkeypatch, batch, hot, length, finer):
     assert repeats.remove_repeats(none, finer=finer).count() == 0
 
 
+def test_runs_of_few_words_stay(spark):
+    texts = passages_and_edits(4)
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    runs = lambda rows, name: {r.doc_id: [(s.start, s.stop) for s in r[name]] for r in rows}
+    long = lambda found: {i: [(s, e) for s, e in x if len(texts[i].encode()[s:e].split()) >= 60] for i, x in found.items()}
+    plain = repeats.remove_repeats(table, length=400, finer=200).collect()
+    some = repeats.remove_repeats(table, length=400, words=60, finer=200, finer_words=60).collect()
+    for name in ("spans", "finer_spans"):
+        assert runs(some, name) == long(runs(plain, name)) != runs(plain, name)
+    assert all(len(r.kept) == r.n_bytes - sum(s.stop - s.start for s in r.spans) for r in some)
+
+
 def test_an_index_takes_batch_after_batch(spark, tmp_path):
     texts = passages_and_edits(5)
     texts += texts[:2] + [None, ""]

@@ -14,8 +14,8 @@ from keystrata.llm import mixing, packing, quality, repeats, simhash
 from keystrata.llm.common import fresh, stash
 
 
-#: Bytes of a repeated string that the suffix-array stage removes: below those of 50 words in any of the languages.
-REPEATED = 200
+#: What the suffix-array stage removes: runs of so many words that repeated strings of so many bytes cover.
+REPEATED_WORDS, REPEATED_BYTES = 50, 200
 
 
 def aside(docs: DataFrame, *used: str) -> tuple[DataFrame, list[Column]]:
@@ -37,9 +37,9 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Text within repeated strings of ``REPEATED`` bytes goes; documents stay, if need be empty, with ``n_chars`` brought up to date."""
+    """Repeated passages of ``REPEATED_WORDS`` go; documents stay, if need be empty, with ``n_chars`` brought up to date."""
     rows, back = aside(docs, "doc_id", "text")
-    out = repeats.remove_repeats(rows, length=REPEATED, as_text=True).withColumnRenamed("kept", "text").select(*back)
+    out = repeats.remove_repeats(rows, length=REPEATED_BYTES, words=REPEATED_WORDS, as_text=True).withColumnRenamed("kept", "text").select(*back)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out

@@ -57,9 +57,10 @@ class WordEncoder:
     """
 
     #: Bytes outside ASCII and U+00C0 to U+00FF, or separators that only Python takes for white space.
-    ODD = np.isin(np.arange(256), [*range(0x1C, 0x20), 0xC2, *range(0xC4, 256)])
+    ODD = bytes(b in range(0x1C, 0x20) or b == 0xC2 or b > 0xC3 for b in range(256))
     #: 0 white space, 1 letters, 2 digits, 3 other signs.
-    KIND = np.array([0 if b in b" \t\n\r\x0b\x0c" else 1 if chr(b).isalpha() or b > 127 else 2 if 48 <= b <= 57 else 3 for b in range(256)], np.int8)
+    KIND = bytes(0 if b in b" \t\n\r\x0b\x0c" else 1 if chr(b).isalpha() or b > 127 else 2 if 48 <= b <= 57 else 3 for b in range(256))
+    LOWER = bytes(range(256)).lower()
 
     def __init__(self, path: str, kept: int = PARTS_KEPT, block: int = TEXT_BLOCK) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -79,7 +80,9 @@ class WordEncoder:
         self.other: dict[str, bytes] = {}
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # a byte-level alphabet shows the other bytes by 256, 257, ...
         hidden = [b for b in range(256) if b not in shown]
-        self.alphabet = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)} | {32: " "}
+        self.alphabet = np.arange(256, dtype="<u4")
+        self.alphabet[hidden] = 256 + np.arange(len(hidden))
+        self.alphabet[32] = 32
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a part
         self.last[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
@@ -92,29 +95,39 @@ class WordEncoder:
         if len(self.parts) > self.kept // 2:
             self.parts, self.older = {}, self.parts
         kept, older = self.parts, self.older
-        missing = [p for p in parts if p not in kept]
-        kept.update((p, older[p]) for p in missing if p in older)
-        new = [p for p in missing if p not in kept]
+        out = list(map(kept.get, parts))
+        missing = [i for i, known in enumerate(out) if known is None]
+        new = []
+        for i in missing:
+            p = parts[i]
+            known = older.get(p)
+            if known is None:
+                new.append(p)
+            else:
+                out[i] = kept[p] = known
         for at in range(0, len(new), 2000):
             some = new[at : at + 2000]
-            shown = b" ".join(some).decode("latin-1").translate(self.alphabet)
+            shown = np.take(self.alphabet, np.frombuffer(b" ".join(some), np.uint8)).tobytes().decode("utf-32-le")
             ids = np.array(self.merges.encode_batch_fast([shown], add_special_tokens=False)[0].ids, "<u4")
             raw, cut = ids.tobytes(), [0, *(4 * np.flatnonzero(self.last[ids]) + 4).tolist()]
             kept.update(zip(some, (raw[s:e] for s, e in zip(cut, cut[1:]))))
-        out = list(map(kept.__getitem__, parts))
+        if new:
+            for i in missing:
+                if out[i] is None:
+                    out[i] = kept[parts[i]]
         if new and max(map(len, new)) > LONGEST_KEPT:
             for p in new:
                 if len(p) > LONGEST_KEPT:
                     del kept[p]
         return out
 
-    def _split(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Lower-cased bytes, and where parts start."""
-        data = data.copy()
-        data[(data >= 65) & (data <= 90)] += 32
+    def _split(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Lower-cased bytes, which are not white space, and where parts start."""
+        raw = data.tobytes()
+        data = np.frombuffer(bytearray(raw.translate(self.LOWER)), np.uint8)
+        kind = np.frombuffer(bytearray(raw.translate(self.KIND)), np.int8)
         wide = np.flatnonzero(data == 0xC3)
         upper = wide[(data[wide + 1] <= 0x9E) & (data[wide + 1] != 0x97)]
-        kind = self.KIND[data]
         signs = wide[(data[wide + 1] == 0x97) | (data[wide + 1] == 0xB7)]
         data[upper + 1] += 32
         kind[signs] = kind[signs + 1] = 3
@@ -137,31 +150,26 @@ class WordEncoder:
                 rest = hit + size
                 inside = rest[rest < len(data)]
                 start[inside] |= kind[inside] == 1
-        return data, start
+        return data, kind > 0, start
 
     def _plain(self, data: np.ndarray, bounds: np.ndarray) -> list[bytes]:
         """Ids of the plain texts between ``bounds``."""
         if not len(data):
             return [b""] * (len(bounds) - 1)
-        data, start = self._split(data, bounds)
+        data, solid, start = self._split(data, bounds)
         at = np.flatnonzero(start)
         if not len(at):
             return [b""] * (len(bounds) - 1)
-        solid = self.KIND[data] > 0
-        ends = np.zeros(len(at) + 1, np.int32)
-        np.cumsum(np.add.reduceat(solid.view(np.int8), at, dtype=np.int32), out=ends[1:])
-        parts = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(data[solid])]).dictionary_encode()
-        ids = self._merge(parts.dictionary.to_pylist())
-        size = np.array([len(i) // 4 for i in ids], np.int64)
-        begin = np.cumsum(size) - size
-        flat, number = np.frombuffer(b"".join(ids), "<u4"), parts.indices.to_numpy()
-        each = size[number]
-        until = np.cumsum(each)
-        place = np.repeat(begin[number] - (until - each), each)
-        place += np.arange(until[-1])
-        out = flat[place].tobytes()
-        cut = (4 * np.concatenate([[0], until])[np.searchsorted(at, bounds)]).tolist()
-        return [out[s:e] for s, e in zip(cut, cut[1:])]
+        data = data[solid]
+        ends = np.append(np.flatnonzero(start[solid]), len(data)).astype(np.int32)
+        parts = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(data)]).dictionary_encode()
+        _, until, every = parts.dictionary.buffers()
+        every, cut = every.to_pybytes(), np.frombuffer(until, np.int32)[: len(parts.dictionary) + 1].tolist()
+        ids = pa.array(self._merge([every[s:e] for s, e in zip(cut, cut[1:])]), pa.large_binary()).take(parts.indices)
+        _, until, out = ids.buffers()
+        cut = np.frombuffer(until, np.int64)[np.searchsorted(at, bounds)].tolist()
+        out = memoryview(out)
+        return [bytes(out[s:e]) for s, e in zip(cut, cut[1:])]
 
     def _odd(self, text: str) -> bytes:
         if "<|" in text or any(c in text for c in SEPARATORS):
@@ -188,7 +196,7 @@ class WordEncoder:
             to = max(at + 1, int(np.searchsorted(ends, ends[at] + self.block, side="right")) - 1)
             lo, bounds = int(ends[at]), ends[at : to + 1] - ends[at]
             data = every[lo : int(ends[to])]
-            bad = np.flatnonzero(self.ODD[data])
+            bad = np.flatnonzero(np.frombuffer(data.tobytes().translate(self.ODD), np.bool_))
             if len(data):
                 bad = np.concatenate([bad, np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))])  # "<|"
             odd = set((np.searchsorted(bounds, np.unique(bad), side="right") - 1).tolist())
